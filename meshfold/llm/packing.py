@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
-from .tokens import FieldEncoder
+from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -66,9 +66,9 @@ def best_fit(items: np.ndarray, caps: np.ndarray, weights: np.ndarray, rule: str
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer: str = "word_bpe_49k.json", end_id: int = 0, capacity: int = 2048) -> DataFrame:
     def cut(batches):
-        enc = FieldEncoder(tokenizer)
+        enc = encoder(tokenizer)
         end = enc.pack([end_id])
-        for b in slices(batches, 256):
+        for b in slices(batches, 1024):
             rows = []
             for key, raw in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
                 ids = np.frombuffer(raw + end, enc.dtype).astype("<u4")

@@ -20,7 +20,7 @@ so ties and repeats do not matter; a null id is kept; an empty table gives no ro
 from __future__ import annotations
 
 import json
-import re
+from functools import lru_cache
 
 import public_tokenizers
 import pyarrow as pa
@@ -29,11 +29,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import slices
-from .tokens import odd_spaced
-
-#: The splitter of the word-level file on lower-case ASCII and Latin-1 letters; fixed values.
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-_SAFE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+from .tokens import SAFE, WORDS, odd_spaced
 
 
 def byte_symbols() -> dict[int, str]:
@@ -127,9 +123,9 @@ class FieldCounter:
         return len(self.tok.encode(text, add_special_tokens=False).ids)
 
     def field(self, field: str) -> int:
-        if not _SAFE.fullmatch(field) or ("<|" in field and any(s in field for s in self.special)):
+        if not SAFE.fullmatch(field) or ("<|" in field and any(s in field for s in self.special)):
             return self.by_library(field)
-        return sum(self.words.count(w.encode()) for w in _WORDS.findall(field.lower()))
+        return sum(self.words.count(w.encode()) for w in WORDS.findall(field.lower()))
 
     def fields(self, fields: list[str]) -> int:
         new = set(fields).difference(self.known)
@@ -141,6 +137,12 @@ class FieldCounter:
         return sum(map(self.known.__getitem__, fields))
 
 
+@lru_cache(maxsize=2)
+def field_counter(file: str) -> FieldCounter:
+    """One counter for all tasks of a Python worker: its transducer goes on growing."""
+    return FieldCounter(file)
+
+
 #: A chunk's state map: (text without white space, None, None), or (field at the left edge, count inside, field at the right edge).
 StateMap = tuple
 
@@ -188,7 +190,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, n_bytes, n_tokens, over_limit of every row; no shuffle."""
 
     def run(batches):
-        counter = FieldCounter(tokenizer)
+        counter = field_counter(tokenizer)
         for b in slices(batches):
             texts = b.column(1).to_pylist()
             n = [count_text(counter, t) for t in texts]

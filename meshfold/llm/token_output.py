@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, materialize, shuffle_partitions, slices
-from .tokens import FieldEncoder
+from .tokens import encoder
 
 MAGIC = b"MFTOKEN1"
 GAMMA = 2.0
@@ -164,9 +164,9 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = out or fresh_path(spark, "token-shards")
 
     def write(batches):
-        enc = FieldEncoder(tokenizer)
+        enc = encoder(tokenizer)
         end, writer = enc.pack([end_id]), None
-        for b in slices(batches, 256):
+        for b in slices(batches, 1024):
             writer = writer or ShardWriter(f"{out}/{uuid.uuid4().hex}.ids", enc.dtype)
             for key, raw in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
                 writer.add(key, raw + end)

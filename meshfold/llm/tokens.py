@@ -10,31 +10,54 @@ from __future__ import annotations
 
 import re
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
-#: One run of letters, then at most one run of marks: so many words of the splitter, each ending in a word-end token.
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?|]*)")
+#: One run of letters, a word of the splitter that ends in one word-end token, then at most one run of marks.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
+
+#: The splitter of the word-level file on lower-case ASCII and Latin-1 letters; fixed values.
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+SAFE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 
 
 def odd_spaced(text: str) -> bool:
     return any(c in text for c in ODD_SPACES)
 
 
+class Generations:
+    """A bounded memory: what was used since the last turn is kept when the table is full, the rest goes."""
+
+    def __init__(self, limit: int):
+        self.limit, self.now, self.old = limit, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Turn if full; move what the older table knows to the newer; the keys that neither knows."""
+        if len(self.now) > self.limit:
+            self.now, self.old = {}, self.now
+        new, old = keys.difference(self.now), self.old
+        if not new or not old:
+            return list(new)
+        again = new.intersection(old)
+        self.now.update((k, old[k]) for k in again)
+        return list(new.difference(again))
+
+
 class FieldEncoder:
-    """texts -> packed ids; keeps the ids of up to `limit` fields."""
+    """texts -> packed ids; keeps the ids of recent fields and words."""
 
-    def __init__(self, file: str = "word_bpe_49k.json", limit: int = 400_000):
+    def __init__(self, file: str = "word_bpe_49k.json", fields: int = 400_000, words: int = 400_000):
         self.tok = Tokenizer.from_file(public_tokenizers.path(file))
         self.tok.no_truncation()
         self.tok.no_padding()
         vocab = self.tok.get_vocab(with_added_tokens=True)
         top = max(vocab.values()) + 1
         self.code, self.dtype = ("H", "<u2") if top <= 1 << 16 else ("I", "<u4")
-        self.limit, self.known = limit, {}
+        self.fields, self.words, self.marks = Generations(fields), Generations(words), {"": b""}
         self.ends = np.zeros(top, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.by_field = '"end_of_word_suffix":"</w>"' in self.tok.to_str().replace(" ", "")
@@ -42,42 +65,58 @@ class FieldEncoder:
     def pack(self, ids) -> bytes:
         return array(self.code, ids).tobytes()
 
+    def _encode_apart(self, parts: list[str], counts: list[int]) -> list[bytes]:
+        """The packed ids of each part, encoded as one text; counts: the splitter's words in each, which end in word-end tokens."""
+        ids = np.array(self.tok.encode(" ".join(parts), add_special_tokens=False).ids, dtype=self.dtype)
+        stops = (np.flatnonzero(self.ends[ids]) + 1)[np.cumsum(counts) - 1] * int(self.dtype[-1])
+        raw, stops = ids.tobytes(), stops.tolist()
+        return [raw[a:b] for a, b in zip([0, *stops], stops)]
+
     def _learn(self, fields: list[str]) -> None:
-        """Plain fields are encoded as one text and told apart by their word-end tokens, others one by one."""
-        width = int(self.dtype[-1])
-        plain, counts, others = [], [], []
-        for f in fields:
-            m = _PLAIN.fullmatch(f)
-            if m:
-                plain.append(f)
-                counts.append(2 if m[1] else 1)
-            else:
-                others.append(f)
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, dtype=self.dtype)
-            stops = (np.flatnonzero(self.ends[ids]) + 1)[np.cumsum(counts[at : at + 4096]) - 1] * width
-            raw, start = ids.tobytes(), 0
-            for f, stop in zip(part, stops.tolist()):
-                self.known[f] = raw[start:stop]
-                start = stop
-        for f, e in zip(others, self.tok.encode_batch_fast(others, add_special_tokens=False)):
-            self.known[f] = self.pack(e.ids)
+        """A plain field is its word and its marks. New words, and other fields of safe characters, are encoded many at a time."""
+        known, match = self.fields.now, _PLAIN.fullmatch
+        plain = [m for m in map(match, fields) if m]
+        lower = [m[1].lower() for m in plain]
+        new = self.words.missing(set(lower))
+        words, marks = self.words.now, self.marks
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            words.update(zip(part, self._encode_apart(part, [1] * len(part))))
+        ends = [m[2] for m in plain]
+        for m in set(ends).difference(marks):
+            if len(marks) > 1000:
+                self.marks = marks = {"": b""}
+            marks[m] = self.pack(self.tok.encode(m, add_special_tokens=False).ids)
+        known.update(zip([m[0] for m in plain], map(bytes.__add__, map(words.__getitem__, lower), [marks[m] if m in marks else self.pack(self.tok.encode(m, add_special_tokens=False).ids) for m in ends])))
+        if len(plain) == len(fields):
+            return
+        others = [f for f in fields if not match(f)]
+        safe = [f for f in others if SAFE.fullmatch(f) and "<|" not in f]
+        for at in range(0, len(safe), 2048):
+            part = safe[at : at + 2048]
+            known.update(zip(part, self._encode_apart(part, [len(WORDS.findall(f.lower())) for f in part])))
+        for f in others:
+            if f not in known:
+                known[f] = self.pack(self.tok.encode(f, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The packed ids of each text; a null text has none."""
         whole = {i for i, t in enumerate(texts) if t and (not self.by_field or odd_spaced(t))}
         fields = [t.split() if t and i not in whole else () for i, t in enumerate(texts)]
-        new: set[str] = set()
+        used: set[str] = set()
         for f in fields:
-            new.update(set(f).difference(self.known))
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-            new = {w for f in fields for w in f}
+            used.update(f)
+        new = self.fields.missing(used)
         if new:
-            self._learn(list(new))
-        get = self.known.__getitem__
+            self._learn(new)
+        get = self.fields.now.__getitem__
         out = [b"".join(map(get, f)) for f in fields]
         for i in whole:
             out[i] = self.pack(self.tok.encode(texts[i], add_special_tokens=False).ids)
         return out
+
+
+@lru_cache(maxsize=2)
+def encoder(file: str) -> FieldEncoder:
+    """One encoder for all tasks of a Python worker: loading the file and learning common fields happen once."""
+    return FieldEncoder(file)
