@@ -21,9 +21,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
-from .tokens import encoder
+from .common import materialize
+from .tokens import encoder, parts_of
 
+PART_BYTES = 4 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -67,12 +68,12 @@ def best_fit(items: np.ndarray, caps: np.ndarray, weights: np.ndarray, rule: str
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer: str = "word_bpe_49k.json", end_id: int = 0, capacity: int = 2048) -> DataFrame:
     def cut(batches):
         enc = encoder(tokenizer)
-        end = enc.pack([end_id])
-        for b in slices(batches, 1024):
+        for b in (p for batch in batches for p in parts_of(batch, 1, PART_BYTES)):
             rows = []
-            for key, raw in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
-                ids = np.frombuffer(raw + end, enc.dtype).astype("<u4")
-                rows += [(key, k, at, len(x), zlib.crc32(x.tobytes())) for k, at in enumerate(range(0, len(ids), capacity)) if len(x := ids[at : at + capacity])]
+            flat, at = enc.ids(b.column(1))
+            for key, i, j in zip(b.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                ids = np.append(flat[i:j], end_id).astype("<u4")
+                rows += [(key, k, s, len(x), zlib.crc32(x.tobytes())) for k, s in enumerate(range(0, len(ids), capacity)) if len(x := ids[s : s + capacity])]
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 

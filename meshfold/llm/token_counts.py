@@ -22,14 +22,15 @@ from __future__ import annotations
 import json
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import slices
-from .tokens import SAFE, WORDS, odd_spaced
+from .tokens import SAFE, WORDS, Generations, distinct_items, parts_of
 
 
 def byte_symbols() -> dict[int, str]:
@@ -108,7 +109,7 @@ class WordTransducer:
 class FieldCounter:
     """The number of tokens of a field; up to `limit` fields are kept."""
 
-    def __init__(self, file: str = "word_bpe_49k.json", limit: int = 400_000):
+    def __init__(self, file: str = "word_bpe_49k.json", limit: int = 200_000):
         path = public_tokenizers.path(file)
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
@@ -117,7 +118,7 @@ class FieldCounter:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.words = WordTransducer(spec)
-        self.limit, self.known = limit, {}
+        self.known = Generations(limit)
 
     def by_library(self, text: str) -> int:
         return len(self.tok.encode(text, add_special_tokens=False).ids)
@@ -127,14 +128,20 @@ class FieldCounter:
             return self.by_library(field)
         return sum(self.words.count(w.encode()) for w in WORDS.findall(field.lower()))
 
+    def learn(self, fields: list[str]) -> None:
+        new = self.known.missing(set(fields))
+        self.known.now.update((f, self.field(f)) for f in new)
+
     def fields(self, fields: list[str]) -> int:
-        new = set(fields).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > self.limit:
-                self.known.clear()
-                new = set(fields)
-            self.known.update((f, self.field(f)) for f in new)
-        return sum(map(self.known.__getitem__, fields))
+        self.learn(fields)
+        return sum(map(self.known.now.__getitem__, fields))
+
+    def column(self, texts: pa.Array) -> np.ndarray:
+        """The number of tokens of each text."""
+        fields, at, starts = distinct_items(texts)
+        self.learn(fields)
+        n = np.fromiter(map(self.known.now.__getitem__, fields), np.int64, len(fields))[at]
+        return np.diff(np.concatenate([[0], np.cumsum(n)])[starts])
 
 
 @lru_cache(maxsize=2)
@@ -143,18 +150,17 @@ def field_counter(file: str) -> FieldCounter:
     return FieldCounter(file)
 
 
+_SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
+
 #: A chunk's state map: (text without white space, None, None), or (field at the left edge, count inside, field at the right edge).
 StateMap = tuple
 
 
 def state_map(counter: FieldCounter, chunk: str) -> StateMap:
-    fields = chunk.split()
-    if not chunk:
-        return "", None, None
-    left = fields.pop(0) if fields and not chunk[0].isspace() else ""
-    if left and not fields and not chunk[-1].isspace():
-        return left, None, None
-    right = fields.pop() if fields and not chunk[-1].isspace() else ""
+    fields = chunk.translate(_SPACES).split(" ")
+    if len(fields) == 1:
+        return chunk, None, None
+    left, right = fields.pop(0), fields.pop()
     return left, counter.fields(fields), right
 
 
@@ -178,23 +184,23 @@ def scan(counter: FieldCounter, maps: list[StateMap]) -> list[StateMap]:
 def count_text(counter: FieldCounter, text: str | None, chunk: int = 1 << 16) -> int:
     if not text:
         return 0
-    if odd_spaced(text):
-        return counter.by_library(text)
-    if len(text) <= chunk:
-        return counter.fields(text.split())
     left, inside, right = scan(counter, [state_map(counter, text[i : i + chunk]) for i in range(0, len(text), chunk)])[-1]
     return (inside or 0) + counter.fields([f for f in (left, right) if f])
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer: str = "word_bpe_49k.json", limit: int = 2048) -> DataFrame:
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer: str = "word_bpe_49k.json", limit: int = 2048, chunk: int = 1 << 16) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row; no shuffle."""
 
     def run(batches):
         counter = field_counter(tokenizer)
-        for b in slices(batches):
-            texts = b.column(1).to_pylist()
-            n = [count_text(counter, t) for t in texts]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_bytes": pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()), "n_tokens": pa.array(n, pa.int64()), "over_limit": [x > limit for x in n]})
+        for b in (p for batch in batches for p in parts_of(batch, 1, 4 << 20)):
+            size = pc.binary_length(b.column(1)).fill_null(0).cast(pa.int64())
+            long_ = [i for i, s in enumerate(size.to_pylist()) if s > chunk]
+            short = b.column(1) if not long_ else pc.if_else(pc.greater(size, chunk), "", b.column(1))
+            n = counter.column(short)
+            for i in long_:
+                n[i] = count_text(counter, b.column(1)[i].as_py(), chunk)
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_bytes": size, "n_tokens": pa.array(n), "over_limit": pa.array(n > limit)})
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 

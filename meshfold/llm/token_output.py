@@ -24,11 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, shuffle_partitions, slices
-from .tokens import encoder
+from .common import fresh_path, materialize, shuffle_partitions
+from .tokens import encoder, parts_of
 
 MAGIC = b"MFTOKEN1"
 GAMMA = 2.0
+PART_BYTES = 4 << 20
 
 
 def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -166,10 +167,12 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def write(batches):
         enc = encoder(tokenizer)
         end, writer = enc.pack([end_id]), None
-        for b in slices(batches, 1024):
-            writer = writer or ShardWriter(f"{out}/{uuid.uuid4().hex}.ids", enc.dtype)
-            for key, raw in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
-                writer.add(key, raw + end)
+        for batch in batches:
+            for b in parts_of(batch, 1, PART_BYTES):
+                writer = writer or ShardWriter(f"{out}/{uuid.uuid4().hex}.ids", enc.dtype)
+                ids, at = enc.ids(b.column(1))
+                for key, i, j in zip(b.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                    writer.add(key, ids[i:j].tobytes() + end)
         if writer:
             ids = writer.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "uri": [writer.uri], "n_docs": [len(writer.keys)], "n_ids": [ids]})

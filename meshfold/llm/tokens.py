@@ -1,32 +1,62 @@
 """Exact token ids of a library tokenizer, memoised by white-space field.
 
-The normalizer, splitter and merges of the word-level BPE file never look across white space, and its
-special strings hold none. So the ids of a text are those of its fields in turn, and a field that has been
-seen needs no second encoding. Texts with one of the four control characters that Python, but not the
-tokenizer, takes for white space are given to the library whole.
+The normalizer, splitter and merges of the word-level BPE file never look across white space, and its special
+strings hold none. So the ids of a text are those of its fields (cut at ASCII white space) in turn. A column of
+texts is cut and its distinct fields are found by Arrow; each distinct field is looked up or encoded once, and
+the ids are put together by position.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-ODD_SPACES = "\x1c\x1d\x1e\x1f"
-#: One run of letters, a word of the splitter that ends in one word-end token, then at most one run of marks.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
-
+MARKS = ".,;:!?|"
+_LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+_WORD = re.compile("[a-zß-öø-ÿ]+")
 #: The splitter of the word-level file on lower-case ASCII and Latin-1 letters; fixed values.
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 SAFE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 
 
-def odd_spaced(text: str) -> bool:
-    return any(c in text for c in ODD_SPACES)
+def distinct_items(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct items of a column of texts, the number of each item in turn, and where each text's items begin.
+
+    A field of letters and at most one mark after them is two items, its word in lower case and the mark (or
+    nothing): the splitter parts them and the tokenizer lower-cases. Any other field is one item and nothing.
+    """
+    cut = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))
+    coded = cut.flatten().dictionary_encode()
+    fields, at = coded.dictionary, coded.indices.to_numpy()
+    starts = np.asarray(cut.offsets) - cut.offsets[0].as_py()
+    bare = pc.ascii_rtrim(fields, MARKS)
+    more = pc.subtract(pc.binary_length(fields), pc.binary_length(bare)).to_numpy()
+    plain = pc.match_substring_regex(bare, _LETTERS).to_numpy(zero_copy_only=False) & (more < 2)
+    items = pc.if_else(pa.array(plain), pc.utf8_lower(bare), fields).dictionary_encode()
+    ends = pc.if_else(pa.array(plain & (more == 1)), pc.utf8_slice_codeunits(fields, -1), "").dictionary_encode()
+    names = items.dictionary.to_pylist()
+    both = np.empty((len(at), 2), np.int64)
+    both[:, 0] = items.indices.to_numpy()[at]
+    both[:, 1] = ends.indices.to_numpy()[at] + len(names)
+    return names + ends.dictionary.to_pylist(), both.ravel(), starts * 2
+
+
+def parts_of(batch: pa.RecordBatch, column: int, size: int):
+    """Slices of a batch whose texts have about `size` bytes together."""
+    length = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(length) // size
+    edge = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edge[:-1], edge[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 class Generations:
@@ -47,76 +77,73 @@ class Generations:
         return list(new.difference(again))
 
 
-class FieldEncoder:
-    """texts -> packed ids; keeps the ids of recent fields and words."""
+class ItemEncoder:
+    """texts -> ids; keeps the ids of recent items."""
 
-    def __init__(self, file: str = "word_bpe_49k.json", fields: int = 400_000, words: int = 400_000):
+    def __init__(self, file: str = "word_bpe_49k.json", items: int = 400_000):
         self.tok = Tokenizer.from_file(public_tokenizers.path(file))
         self.tok.no_truncation()
         self.tok.no_padding()
         vocab = self.tok.get_vocab(with_added_tokens=True)
         top = max(vocab.values()) + 1
         self.code, self.dtype = ("H", "<u2") if top <= 1 << 16 else ("I", "<u4")
-        self.fields, self.words, self.marks = Generations(fields), Generations(words), {"": b""}
+        self.items = Generations(items)
         self.ends = np.zeros(top, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.by_field = '"end_of_word_suffix":"</w>"' in self.tok.to_str().replace(" ", "")
+        spec = json.loads(self.tok.to_str())
+        self.by_field = spec["model"].get("end_of_word_suffix") == "</w>"
+        # for words of lower-case letters only: the same model, without what cannot change them
+        spec |= {"added_tokens": [], "normalizer": None, "post_processor": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+        self.bare = Tokenizer.from_str(json.dumps(spec)) if self.by_field else self.tok
 
     def pack(self, ids) -> bytes:
         return array(self.code, ids).tobytes()
 
-    def _encode_apart(self, parts: list[str], counts: list[int]) -> list[bytes]:
+    def _encode_apart(self, tok: Tokenizer, parts: list[str], counts: list[int]) -> list[bytes]:
         """The packed ids of each part, encoded as one text; counts: the splitter's words in each, which end in word-end tokens."""
-        ids = np.array(self.tok.encode(" ".join(parts), add_special_tokens=False).ids, dtype=self.dtype)
+        ids = np.array(tok.encode(" ".join(parts), add_special_tokens=False).ids, dtype=self.dtype)
         stops = (np.flatnonzero(self.ends[ids]) + 1)[np.cumsum(counts) - 1] * int(self.dtype[-1])
         raw, stops = ids.tobytes(), stops.tolist()
         return [raw[a:b] for a, b in zip([0, *stops], stops)]
 
-    def _learn(self, fields: list[str]) -> None:
-        """A plain field is its word and its marks. New words, and other fields of safe characters, are encoded many at a time."""
-        known, match = self.fields.now, _PLAIN.fullmatch
-        plain = [m for m in map(match, fields) if m]
-        lower = [m[1].lower() for m in plain]
-        new = self.words.missing(set(lower))
-        words, marks = self.words.now, self.marks
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            words.update(zip(part, self._encode_apart(part, [1] * len(part))))
-        ends = [m[2] for m in plain]
-        for m in set(ends).difference(marks):
-            if len(marks) > 1000:
-                self.marks = marks = {"": b""}
-            marks[m] = self.pack(self.tok.encode(m, add_special_tokens=False).ids)
-        known.update(zip([m[0] for m in plain], map(bytes.__add__, map(words.__getitem__, lower), [marks[m] if m in marks else self.pack(self.tok.encode(m, add_special_tokens=False).ids) for m in ends])))
-        if len(plain) == len(fields):
+    def _learn(self, items: list[str]) -> None:
+        """New words, and other items of safe characters, are encoded many at a time."""
+        known, word = self.items.now, _WORD.fullmatch
+        words = [x for x in items if word(x)]
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            known.update(zip(part, self._encode_apart(self.bare, part, [1] * len(part))))
+        if len(words) == len(items):
             return
-        others = [f for f in fields if not match(f)]
-        safe = [f for f in others if SAFE.fullmatch(f) and "<|" not in f]
+        others = [x for x in items if not word(x)]
+        safe = [x for x in others if SAFE.fullmatch(x) and "<|" not in x]
         for at in range(0, len(safe), 2048):
             part = safe[at : at + 2048]
-            known.update(zip(part, self._encode_apart(part, [len(WORDS.findall(f.lower())) for f in part])))
-        for f in others:
-            if f not in known:
-                known[f] = self.pack(self.tok.encode(f, add_special_tokens=False).ids)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The packed ids of each text; a null text has none."""
-        whole = {i for i, t in enumerate(texts) if t and (not self.by_field or odd_spaced(t))}
-        fields = [t.split() if t and i not in whole else () for i, t in enumerate(texts)]
-        used: set[str] = set()
-        for f in fields:
-            used.update(f)
-        new = self.fields.missing(used)
+            known.update(zip(part, self._encode_apart(self.tok, part, [len(WORDS.findall(x.lower())) for x in part])))
+        for x in set(others).difference(safe):
+            known[x] = self.pack(self.tok.encode(x, add_special_tokens=False).ids)
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a column of texts, one after another, and where each text's begin (and the last one's end)."""
+        if not self.by_field:
+            packed = [self.pack(self.tok.encode(t, add_special_tokens=False).ids) if t else b"" for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(packed), self.dtype), np.cumsum([0, *(len(x) // int(self.dtype[-1]) for x in packed)])
+        items, at, starts = distinct_items(texts)
+        new = self.items.missing(set(items))
         if new:
             self._learn(new)
-        get = self.fields.now.__getitem__
-        out = [b"".join(map(get, f)) for f in fields]
-        for i in whole:
-            out[i] = self.pack(self.tok.encode(texts[i], add_special_tokens=False).ids)
-        return out
+        packed = list(map(self.items.now.__getitem__, items))
+        flat = np.frombuffer(b"".join(packed), self.dtype)
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // int(self.dtype[-1])
+        first = np.cumsum(size) - size
+        size = size[at]
+        ends = np.cumsum(size)
+        place = np.repeat(first[at] - ends + size, size)
+        place += np.arange(len(place))
+        return flat[place], np.concatenate([[0], ends])[starts]
 
 
 @lru_cache(maxsize=2)
-def encoder(file: str) -> FieldEncoder:
+def encoder(file: str) -> ItemEncoder:
     """One encoder for all tasks of a Python worker: loading the file and learning common fields happen once."""
-    return FieldEncoder(file)
+    return ItemEncoder(file)

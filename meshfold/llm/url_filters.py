@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: (verdict, host, path); fixed values.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,13 +59,16 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     # one row for each host and shape from here on
     kinds = rows.groupBy("host", "s1", "s2", "s3").agg(F.count("*").alias("n"), F.count("ruled").alias("m"), F.count_if(F.col("ruled") == "allow").alias("a"))
 
+    # each step is written: it is read twice by the next, and plans would double from step to step
+    kinds = materialize(kinds, "url-kinds")
+
     def level(df: DataFrame, by: list[str], est: str, parent: Column) -> DataFrame:
         own = df.groupBy(*by).agg(F.sum("m").alias("bm"), F.sum("a").alias("ba"))
-        return df.join(own, by).withColumn(est, _estimate(F.col("bm"), F.col("ba"), parent, z, prior)).drop("bm", "ba")
+        return materialize(df.join(own, by).withColumn(est, _estimate(F.col("bm"), F.col("ba"), parent, z, prior)).drop("bm", "ba"), "url-tree")
 
     def general(df: DataFrame, by: list[str], seg: str, out: str) -> DataFrame:
         seen = df.groupBy(*by, seg).agg(F.sum("n").alias("support"))
-        return df.join(seen, [*by, seg]).withColumn(out, F.when(F.col(seg).isin("", "{n}") | (F.col("support") >= support), F.col(seg)).otherwise("*")).drop("support")
+        return materialize(df.join(seen, [*by, seg]).withColumn(out, F.when(F.col(seg).isin("", "{n}") | (F.col("support") >= support), F.col(seg)).otherwise("*")).drop("support"), "url-tree")
 
     kinds = general(kinds, ["host"], "s1", "t1")
     kinds = general(kinds, ["host", "t1"], "s2", "t2")
