@@ -99,6 +99,18 @@ class Ring:
             left = left[np.bitwise_count(x[left] & self.masks[start[left], n]) <= n * self.t // self.m]
         return left
 
+    def first_start(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The first start from which the pair stays within every budget."""
+        out, open_ = np.full(len(a), self.m), np.arange(len(a))
+        for i in range(self.m):
+            x = (a ^ b)[open_]
+            ok = np.ones(len(open_), bool)
+            for n in range(1, self.m + 1):
+                ok &= np.bitwise_count(x & self.masks[i, n]) <= n * self.t // self.m
+            out[open_[ok]] = i
+            open_ = open_[~ok]
+        return out
+
 
 def same_key_pairs(key: np.ndarray, block: int = 1 << 21):
     """(i, j), i < j, of all places with the same key, keys being in order; at most about `block` pairs at a time."""

@@ -5,10 +5,11 @@ words change five times as many shingles, which moves a shingle fingerprint by t
 fingerprint here is of words, weighted by the square root of their counts, where such pairs lie within 8 bits
 (on the small table: all of them; 3 bits in the mean). Pairs within 8 bits, found by the pigeonring filter, are
 thinned by a sketch of the shingle sets (one bit of the least shingle of each of 512 ranges of hashes; pairs
-are kept down to four standard errors below the bound) and then verified on the whole texts.
+are kept down to three standard errors below the bound) and then verified on the whole texts. Only texts with
+a candidate at all take their sketches into the search.
 
-Pairs are verified in two rounds. First each text with one partner under each key; the links found make
-components. Then all candidates whose two texts are still in different components. So a dense group costs about
+Pairs are verified in two rounds. First each text with its most similar partner under each key; the links found
+make components. Then all candidates whose two texts are still in different components. So a dense group costs about
 as many verifications as it has texts, and no link between components is left out.
 
 Cases: null texts count as empty ones; texts without words are alike; a text of fewer words than a shingle is
@@ -53,14 +54,15 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.packbits(out, axis=1).tobytes()
 
 
-def may_be_similar(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """Rows of sketches (16 words each) whose estimate is not clearly below the bound."""
+def estimates(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of sketches (16 words each): the estimated similarity, and whether it is not clearly below the bound."""
     both = a[:, :8] & b[:, :8]
     n_both = np.bitwise_count(both).sum(axis=1, dtype=np.int64)
-    n_any = np.bitwise_count(a[:, :8] | b[:, :8]).sum(axis=1, dtype=np.int64)
+    n_any = np.maximum(np.bitwise_count(a[:, :8] | b[:, :8]).sum(axis=1, dtype=np.int64), 1)
     agree = np.bitwise_count(both & ~(a[:, 8:] ^ b[:, 8:])).sum(axis=1, dtype=np.int64)
     error = np.sqrt(np.maximum(n_both - least * n_any, 0) + least * (1 - least) * n_any)
-    return 2 * agree - n_both >= least * n_any - 4 * error - 1e-9
+    near = (2 * agree - n_both >= least * n_any - 3 * error - 1e-9) | ((a[:, :8] | b[:, :8]) == 0).all(axis=1)
+    return (2 * agree - n_both) / n_any, near
 
 
 def similar(a: str | None, b: str | None, words: int = WORDS) -> float:
@@ -81,30 +83,65 @@ def _described(docs: DataFrame, text_col: str) -> DataFrame:
     return materialize(rows.dropDuplicates(["node"]), "texts")
 
 
-def _candidates(keyed: DataFrame, ring: Ring, first_only: bool) -> DataFrame:
-    """Pairs (a, b) of nodes in different components: all, or one for each node and key."""
+_ORDER = ["start", "part", "lo", "hi"]
+
+
+def _by_key(nodes: DataFrame, ring: Ring, cap: int) -> DataFrame:
+    """The nodes under each of their ring keys, a task's rows in key order."""
+    rows = nodes.select("*", F.explode(ring.keys(F.col("fp"))).alias("k")).select(*nodes.columns, "k.*")
+    rows = dealt(rows, ["start", "part"], F.xxhash64("node"), cap).drop("own")
+    return rows.repartition(*(F.col(c) for c in _ORDER)).sortWithinPartitions(*_ORDER)
+
+
+def _with_partner(nodes: DataFrame, ring: Ring, cap: int) -> DataFrame:
+    """The nodes with another one within the ring's bits."""
+
+    def run(batches):
+        for t in whole_groups(batches, _ORDER):
+            start, node, fp = t["start"].to_numpy(), t["node"].to_numpy(), t["fp"].to_numpy().view(np.uint64)
+            near = np.zeros(len(node), bool)
+            for i, j in same_key_pairs(group_numbers(t, _ORDER)):
+                ok = ring.near(start[i], fp[i], fp[j])
+                near[i[ok]] = near[j[ok]] = True
+            yield pa.RecordBatch.from_pydict({"node": pa.array(np.unique(node[near]))})
+
+    return materialize(_by_key(nodes.select("node", "fp"), ring, cap).mapInArrow(run, "node long").distinct(), "with-partner")
+
+
+def _candidates(nodes: DataFrame, ring: Ring, cap: int, best_only: bool) -> DataFrame:
+    """Pairs (a, b) of nodes (node, fp, comp, sketch) in different components: all, or each node's best under each key."""
 
     def run(batches):
-        for t in whole_groups(batches, ["start", "part", "lo", "hi"], 100_000):
-            number = group_numbers(t, ["start", "part", "lo", "hi"])
+        for t in whole_groups(batches, _ORDER, 100_000):
             start, node, fp, comp = t["start"].to_numpy(), t["node"].to_numpy(), t["fp"].to_numpy().view(np.uint64), t["comp"].to_numpy()
             marks = np.frombuffer(b"".join(t["sketch"].to_pylist()), "<u8").reshape(-1, 16)
-            taken = np.zeros(len(node), bool)
-            for i, j in same_key_pairs(number):
+            best, partner = np.full(len(node), -np.inf), np.full(len(node), -1)
+            for i, j in same_key_pairs(group_numbers(t, _ORDER)):
                 ok = np.flatnonzero(comp[i] != comp[j])
                 ok = ok[ring.near(start[i[ok]], fp[i[ok]], fp[j[ok]])]
-                ok = ok[may_be_similar(marks[i[ok]], marks[j[ok]], LEAST)]
                 a, b = i[ok], j[ok]
-                if first_only:
-                    _, one = np.unique(b, return_index=True)
-                    one = one[~taken[b[one]]]
-                    a, b = a[one], b[one]
-                    taken[b] = True
-                yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(node[a], node[b])), "b": pa.array(np.maximum(node[a], node[b]))})
-
-    order = ["start", "part", "lo", "hi"]
-    rows = keyed.select(*order, "node", "fp", "comp", "sketch").repartition(*(F.col(c) for c in order)).sortWithinPartitions(*order)
-    return materialize(rows.mapInArrow(run, "a long, b long").distinct(), "candidates")
+                if not best_only:  # a pair counts at its first start only
+                    own = ring.first_start(fp[a], fp[b]) == start[a]
+                    a, b = a[own], b[own]
+                score, near = estimates(marks[a], marks[b], LEAST)
+                a, b, score = a[near], b[near], score[near]
+                if best_only:
+                    for x, y in ((a, b), (b, a)):
+                        order = np.argsort(-score, kind="stable")
+                        _, one = np.unique(x[order], return_index=True)
+                        one = order[one]
+                        one = one[score[one] > best[x[one]]]
+                        best[x[one]], partner[x[one]] = score[one], y[one]
+                else:
+                    yield pairs(node[a], node[b])
+            if best_only:
+                some = np.flatnonzero(partner >= 0)
+                yield pairs(node[some], node[partner[some]])
+
+    def pairs(a, b):
+        return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return materialize(_by_key(nodes.select("node", "fp", "comp", "sketch"), ring, cap).mapInArrow(run, "a long, b long").distinct(), "candidates")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
@@ -134,13 +171,11 @@ def similar_texts(docs: DataFrame, text_col: str = "text", *, cap: int = 4096) -
     """(node, root) of each distinct text that is similar to another; a node is the text's hash."""
     ring = Ring(BITS, SEGMENTS)
     nodes = _described(docs, text_col)
-    keyed = nodes.select("node", "fp", F.explode(ring.keys(F.col("fp"))).alias("k")).select("node", "fp", "k.*")
-    keyed = materialize(dealt(keyed, ["start", "part"], F.xxhash64("node"), cap).drop("own"), "ring-keys")
-    with_marks = keyed.join(nodes.select("node", "sketch"), "node")
-    first = _verified(_candidates(with_marks.withColumn("comp", F.col("node")), ring, True), docs, text_col)
+    nodes = materialize(nodes.join(_with_partner(nodes, ring, cap), "node", "left_semi"), "near-texts")
+    first = _verified(_candidates(nodes.withColumn("comp", F.col("node")), ring, cap, True), docs, text_col)
     roots = materialize(components(first), "roots")
-    labelled = with_marks.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
-    second = _verified(_candidates(labelled, ring, False), docs, text_col)
+    labelled = materialize(nodes.join(roots, "node", "left").select("node", "fp", "sketch", F.coalesce("root", "node").alias("comp")), "labelled")
+    second = _verified(_candidates(labelled, ring, cap, False), docs, text_col)
     return materialize(components(first.union(second)), "roots")
 
 
