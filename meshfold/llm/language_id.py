@@ -51,9 +51,11 @@ class Model:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *, key: str = "doc_id", max_rows: int = 4000, max_words: int = 20_000, max_grams: int = 40_000) -> Model:
-    """Fit on the max_rows labelled rows with the least hash of key, whole texts; the model has at most max_words words and max_grams n-grams for each language."""
-    sample = labelled.select(F.col(key).alias("k"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    chosen = sample.select("lang", "text", F.xxhash64("k").alias("h"), "k").orderBy("h", "k").limit(max_rows).select("lang", "text")
+    """Fit on the max_rows distinct labelled rows with the least hash, whole texts; the model has at most max_words words and max_grams n-grams for each language."""
+    sample = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(key, text_col, lang_col).alias("h")).where("lang is not null and text is not null")
+    # the bound is found on the hashes alone; only chosen texts move
+    last = sample.select("h").distinct().orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
+    chosen = sample.where(F.col("h") <= F.lit(last).cast("long")).dropDuplicates(["h"]).select("lang", "text")
     counts = chosen.mapInArrow(_fold_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = counts.persist()
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
@@ -81,7 +83,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
 
 
 class Scorer:
-    def __init__(self, model: Model, limit: int = 300_000):
+    def __init__(self, model: Model, limit: int = 150_000):
         self.m, self.limit = model, limit
         self.clear()
 
@@ -140,7 +142,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", *, least: float = 0.35) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", *, least: float = 0.0) -> DataFrame:
     """The rows whose language is identified: not `und`, with a posterior of at least `least`. All columns pass through."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
