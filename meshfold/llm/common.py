@@ -28,7 +28,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that materialize() wrote; nothing that is still to run may read it."""
+    drop_path(df.sparkSession, df.written_to)
 
 
 def drop_path(spark: SparkSession, uri: str) -> None:

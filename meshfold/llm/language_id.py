@@ -13,7 +13,6 @@ any labelled row every text is `und`; texts are scored whole; further columns ar
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 

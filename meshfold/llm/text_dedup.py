@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import materialize, slices
+from .common import discard, materialize, slices
 from .components import components
 from .simhash import SEED, Ring, dealt, group_numbers, majority, same_key_pairs, shingle_hashes, whole_groups
 
@@ -80,7 +80,9 @@ def _described(docs: DataFrame, text_col: str) -> DataFrame:
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = materialize(docs.select(F.xxhash64(text).alias("node"), text.alias("t")).mapInArrow(run, "node long, fp long, sketch binary"), "described")
-    return materialize(rows.dropDuplicates(["node"]), "texts")
+    out = materialize(rows.dropDuplicates(["node"]), "texts")
+    discard(rows)
+    return out
 
 
 _ORDER = ["start", "part", "lo", "hi"]
@@ -164,7 +166,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
-    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "verified")
+    out = materialize(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "verified")
+    discard(texts)
+    return out
 
 
 def similar_texts(docs: DataFrame, text_col: str = "text", *, cap: int = 4096) -> DataFrame:
