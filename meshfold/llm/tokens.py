@@ -80,7 +80,7 @@ class Generations:
 class ItemEncoder:
     """texts -> ids; keeps the ids of recent items."""
 
-    def __init__(self, file: str = "word_bpe_49k.json", items: int = 400_000):
+    def __init__(self, file: str = "word_bpe_49k.json", items: int = 200_000):
         self.tok = Tokenizer.from_file(public_tokenizers.path(file))
         self.tok.no_truncation()
         self.tok.no_padding()
