@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import giving_back
+
 _WORD_BYTES = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _WORD_BYTES else 0x20 for b in range(256))
 
@@ -236,7 +238,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
             names = [",".join(sorted(map(str, f))) for f in found]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_words": pa.array(list(map(len, words)), pa.int64()), "n_hit": pa.array(hit, pa.int64()), "n_items": pa.array(list(map(len, found)), pa.int64()), "items_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in names], "contaminated": [h > 0 for h in hit], "spans": pa.array([s.ravel().tolist() for s in spans], pa.list_(pa.int64()))})
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<long>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(giving_back(run), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<long>")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", *, window: int = 10, shard_words: int = 400_000, block_bytes: int = 8 << 20) -> DataFrame:
@@ -249,7 +251,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
             spans, _ = search_shard(words, [x.value for x in blocks])
             yield b.filter(pa.array([not len(s) for s in spans], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

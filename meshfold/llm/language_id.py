@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import giving_back, slices
 
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -55,7 +55,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
     # the bound is found on the hashes alone; only chosen texts move
     last = sample.select("h").distinct().orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
     chosen = sample.where(F.col("h") <= F.lit(last).cast("long")).dropDuplicates(["h"]).select("lang", "text")
-    counts = chosen.mapInArrow(_fold_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = chosen.mapInArrow(giving_back(_fold_counts), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = counts.persist()
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
     if not langs:
@@ -138,7 +138,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             got = [scorer.posterior(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "lang_pred": [x for x, _ in got], "score": pa.array([s for _, s in got], pa.float64())})
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(giving_back(run), "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", *, least: float = 0.0) -> DataFrame:
@@ -152,7 +152,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", *, le
             got = [scorer.posterior(t) for t in b.column(place).to_pylist()]
             yield b.filter(pa.array([x != UNKNOWN and s >= least for x, s in got], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)
 
 
 def held_out(key) -> F.Column:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import discard, materialize, slices
+from .common import discard, giving_back, materialize, slices
 from .components import components
 from .simhash import SEED, Ring, dealt, group_numbers, majority, same_key_pairs, shingle_hashes, whole_groups
 
@@ -79,7 +79,7 @@ def _described(docs: DataFrame, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"node": b.column(0), "fp": pa.array(np.array([word_print(t) for t in texts], np.uint64).view(np.int64)), "sketch": [sketch(shingle_hashes(t, WORDS)) for t in texts]})
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = materialize(docs.select(F.xxhash64(text).alias("node"), text.alias("t")).mapInArrow(run, "node long, fp long, sketch binary"), "described")
+    rows = materialize(docs.select(F.xxhash64(text).alias("node"), text.alias("t")).mapInArrow(giving_back(run), "node long, fp long, sketch binary"), "described")
     out = materialize(rows.dropDuplicates(["node"]), "texts")
     discard(rows)
     return out
@@ -107,7 +107,7 @@ def _with_partner(nodes: DataFrame, ring: Ring, cap: int) -> DataFrame:
                 near[i[ok]] = near[j[ok]] = True
             yield pa.RecordBatch.from_pydict({"node": pa.array(np.unique(node[near]))})
 
-    return materialize(_by_key(nodes.select("node", "fp"), ring, cap).mapInArrow(run, "node long").distinct(), "with-partner")
+    return materialize(_by_key(nodes.select("node", "fp"), ring, cap).mapInArrow(giving_back(run), "node long").distinct(), "with-partner")
 
 
 def _candidates(nodes: DataFrame, ring: Ring, cap: int, best_only: bool) -> DataFrame:
@@ -143,7 +143,7 @@ def _candidates(nodes: DataFrame, ring: Ring, cap: int, best_only: bool) -> Data
     def pairs(a, b):
         return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
-    return materialize(_by_key(nodes.select("node", "fp", "comp", "sketch"), ring, cap).mapInArrow(run, "a long, b long").distinct(), "candidates")
+    return materialize(_by_key(nodes.select("node", "fp", "comp", "sketch"), ring, cap).mapInArrow(giving_back(run), "a long, b long").distinct(), "candidates")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
@@ -166,7 +166,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
-    out = materialize(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "verified")
+    out = materialize(both.select("a", "b", "ta", "tb").mapInArrow(giving_back(run), "a long, b long"), "verified")
     discard(texts)
     return out
 
