@@ -3,13 +3,15 @@
 Texts are similar if the Jaccard similarity of their sets of five-word shingles is at least 0.8. A few edited
 words change five times as many shingles, which moves a shingle fingerprint by ten bits and more; so the
 fingerprint here is of words, weighted by the square root of their counts, where such pairs lie within 8 bits
-(on the small table: all of them; 3 bits in the mean). Pairs within 8 bits, found by the pigeonring filter, are
-thinned by a sketch of the shingle sets (one bit of the least shingle of each of 512 ranges of hashes; pairs
+(on the small table: all of them; 3 bits in the mean). A block that is appended or cut moves more bits, so texts
+that agree in one of 20 bands of four MinHash values of their shingles are candidates too; at a similarity of 0.8
+a pair misses all bands with a chance of 3e-5, above it with less. Pairs within 8 bits, found by the pigeonring
+filter, and pairs of a band are thinned by a sketch of the shingle sets (one bit of the least shingle of each of 512 ranges of hashes; pairs
 are kept down to three standard errors below the bound) and then verified on the whole texts. Only texts with
 a candidate at all take their sketches into the search.
 
-Pairs are verified in two rounds. First each text with its most similar partner under each key; the links found
-make components. Then all candidates whose two texts are still in different components. So a dense group costs about
+Pairs are verified in two rounds. First each text with its most similar partner under each key, and with the
+least node and the node before it of each band; the links found make components. Then all candidates whose two texts are still in different components. So a dense group costs about
 as many verifications as it has texts, and no link between components is left out.
 
 Cases: null texts count as empty ones; texts without words are alike; a text of fewer words than a shingle is
@@ -32,6 +34,9 @@ from .components import components
 from .simhash import SEED, Ring, dealt, group_numbers, majority, same_key_pairs, shingle_hashes, whole_groups
 
 WORDS, LEAST, BITS, SEGMENTS, BINS = 5, 0.8, 8, 9, 512
+BANDS, ROWS = 20, 4
+#: Odd multipliers and addends of the MinHash functions; fixed values.
+_MINHASH = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[1], [0]], np.uint64)
 
 
 def word_print(text: str | None) -> int:
@@ -54,6 +59,18 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.packbits(out, axis=1).tobytes()
 
 
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """One 32-bit key for each band of the set's MinHash values."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 1024):
+        least = np.minimum(least, (hashes[at : at + 1024, None] * _MINHASH[0] + _MINHASH[1]).min(axis=0))
+    key = np.zeros(BANDS, np.uint64)
+    for x in least.reshape(BANDS, ROWS).T:
+        key = (key ^ x) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def estimates(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Of rows of sketches (16 words each): the estimated similarity, and whether it is not clearly below the bound."""
     both = a[:, :8] & b[:, :8]
@@ -71,15 +88,18 @@ def similar(a: str | None, b: str | None, words: int = WORDS) -> float:
 
 
 def _described(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row for each distinct text: node (its hash), fp, sketch."""
+    """One row for each distinct text: node (its hash), fp, sketch, bands."""
 
     def run(batches):
         for b in slices(batches, 256):
             texts = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_pydict({"node": b.column(0), "fp": pa.array(np.array([word_print(t) for t in texts], np.uint64).view(np.int64)), "sketch": [sketch(shingle_hashes(t, WORDS)) for t in texts]})
+            hashes = [shingle_hashes(t, WORDS) for t in texts]
+            fp = pa.array(np.array([word_print(t) for t in texts], np.uint64).view(np.int64))
+            keys = pa.array([bands(h) for h in hashes], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_pydict({"node": b.column(0), "fp": fp, "sketch": [sketch(h) for h in hashes], "bands": keys})
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = materialize(docs.select(F.xxhash64(text).alias("node"), text.alias("t")).mapInArrow(giving_back(run), "node long, fp long, sketch binary"), "described")
+    rows = materialize(docs.select(F.xxhash64(text).alias("node"), text.alias("t")).mapInArrow(giving_back(run), "node long, fp long, sketch binary, bands array<int>"), "described")
     out = materialize(rows.dropDuplicates(["node"]), "texts")
     discard(rows)
     return out
@@ -95,6 +115,10 @@ def _by_key(nodes: DataFrame, ring: Ring, cap: int) -> DataFrame:
     return rows.repartition(*(F.col(c) for c in _ORDER)).sortWithinPartitions(*_ORDER)
 
 
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+
 def _with_partner(nodes: DataFrame, ring: Ring, cap: int) -> DataFrame:
     """The nodes with another one within the ring's bits."""
 
@@ -135,17 +159,60 @@ def _candidates(nodes: DataFrame, ring: Ring, cap: int, best_only: bool) -> Data
                         one = one[score[one] > best[x[one]]]
                         best[x[one]], partner[x[one]] = score[one], y[one]
                 else:
-                    yield pairs(node[a], node[b])
+                    yield _pairs(node[a], node[b])
             if best_only:
                 some = np.flatnonzero(partner >= 0)
-                yield pairs(node[some], node[partner[some]])
-
-    def pairs(a, b):
-        return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+                yield _pairs(node[some], node[partner[some]])
 
     return materialize(_by_key(nodes.select("node", "fp", "comp", "sketch"), ring, cap).mapInArrow(giving_back(run), "a long, b long").distinct(), "candidates")
 
 
+def _in_bands(nodes: DataFrame) -> DataFrame:
+    """(start, part, node): the bands that hold more than one node."""
+    rows = nodes.select("node", F.posexplode("bands").alias("start", "part"))
+    shared = rows.groupBy("start", "part").agg(F.count("*").alias("n")).where("n > 1")
+    return materialize(rows.join(shared, ["start", "part"], "left_semi"), "in-bands")
+
+
+def _band_rows(rows: DataFrame, cap: int) -> DataFrame:
+    rows = dealt(rows, ["start", "part"], F.xxhash64("node"), cap).drop("own")
+    return rows.repartition(*(F.col(c) for c in _ORDER)).sortWithinPartitions(*_ORDER, "node")
+
+
+def _band_stars(rows: DataFrame, cap: int) -> DataFrame:
+    """Pairs (a, b): each node of a band with the least one and with the one before it."""
+
+    def run(batches):
+        for t in whole_groups(batches, _ORDER):
+            node, g = t["node"].to_numpy(), group_numbers(t, _ORDER)
+            first = np.searchsorted(g, g)
+            some = np.flatnonzero(first < np.arange(len(g)))
+            yield _pairs(np.r_[node[first[some]], node[some - 1]], np.r_[node[some], node[some]])
+
+    return materialize(_band_rows(rows, cap).mapInArrow(giving_back(run), "a long, b long").distinct(), "candidates")
+
+
+def _band_pairs(rows: DataFrame, roots: DataFrame, nodes: DataFrame, cap: int) -> DataFrame:
+    """All pairs (a, b) of a band whose nodes are in different components, thinned by their sketches."""
+    rows = materialize(rows.join(roots, "node", "left").select("start", "part", "node", F.coalesce("root", "node").alias("comp")), "band-comps")
+    open_ = rows.groupBy("start", "part").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
+    rows = materialize(rows.join(open_, ["start", "part"], "left_semi").join(nodes.select("node", "sketch", "bands"), "node"), "open-bands")
+
+    def run(batches):
+        for t in whole_groups(batches, _ORDER, 100_000):
+            node, comp = t["node"].to_numpy(), t["comp"].to_numpy()
+            marks = np.frombuffer(b"".join(t["sketch"].to_pylist()), "<u8").reshape(-1, 16)
+            start, keys = t["start"].to_numpy(), t["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+            for i, j in same_key_pairs(group_numbers(t, _ORDER), 1 << 18):
+                ok = np.flatnonzero(comp[i] != comp[j])
+                ok = ok[(keys[i[ok]] == keys[j[ok]]).argmax(axis=1) == start[i[ok]]]  # a pair counts in its first band only
+                a, b = i[ok], j[ok]
+                _, near = estimates(marks[a], marks[b], LEAST)
+                yield _pairs(node[a[near]], node[b[near]])
+
+    return materialize(_band_rows(rows, cap).mapInArrow(giving_back(run), "a long, b long").distinct(), "candidates")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """The pairs whose whole texts are similar."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -174,12 +241,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
 def similar_texts(docs: DataFrame, text_col: str = "text", *, cap: int = 4096) -> DataFrame:
     """(node, root) of each distinct text that is similar to another; a node is the text's hash."""
     ring = Ring(BITS, SEGMENTS)
-    nodes = _described(docs, text_col)
-    nodes = materialize(nodes.join(_with_partner(nodes, ring, cap), "node", "left_semi"), "near-texts")
-    first = _verified(_candidates(nodes.withColumn("comp", F.col("node")), ring, cap, True), docs, text_col)
+    texts = _described(docs, text_col)
+    banded = _in_bands(texts)
+    nodes = materialize(texts.select("node", "fp", "sketch").join(_with_partner(texts, ring, cap), "node", "left_semi"), "near-texts")
+    asked = _candidates(nodes.withColumn("comp", F.col("node")), ring, cap, True).union(_band_stars(banded, cap)).distinct()
+    first = _verified(materialize(asked, "candidates"), docs, text_col)
     roots = materialize(components(first), "roots")
     labelled = materialize(nodes.join(roots, "node", "left").select("node", "fp", "sketch", F.coalesce("root", "node").alias("comp")), "labelled")
-    second = _verified(_candidates(labelled, ring, cap, False), docs, text_col)
+    discard(nodes)
+    asked = _candidates(labelled, ring, cap, False).union(_band_pairs(banded, roots, texts, cap)).distinct()
+    second = _verified(materialize(asked, "candidates"), docs, text_col)
+    for used in (texts, banded, labelled):
+        discard(used)
     return materialize(components(first.union(second)), "roots")
 
 
