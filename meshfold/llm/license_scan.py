@@ -8,6 +8,12 @@ licensed lines make up at least `file_share` of its text is a licence file and s
 without a licence of its own takes that of the nearest directory at or above its own which has one; this is a
 join on the distinct directories' ancestor paths.
 
+Besides, an SPDX tag names the licence with score 1; a whole text that reaches `least` against a full licence text
+(`licences/`) is a licence file, whatever its lines say; and a file with none of these and no line that reaches
+`least` takes the best window of as many words as a template or a short full text has, across lines and inside
+longer ones, if that reaches `least_window`. Their weights are (1 + ln count) times ln((1 + N) / (1 + df)) + 1
+over the templates alone, so they do not depend on the table. Precedence: tag, whole text, line, window.
+
 Cases: a null or empty text has no licence of its own but may inherit; a null path has no directory and no
 inheritance; repeated rows are judged alike; of several licence files in a directory the best score, then the
 licence first in order, counts; an empty table gives no rows; further columns are not read.
@@ -15,9 +21,16 @@ licence first in order, counts; an empty table gives no rows; further columns ar
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Short licence notices by SPDX id; fixed values.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
@@ -33,13 +46,19 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 _KEY = "(?i)licen[cs]e|copyright|spdx"
+#: Words that notices and licence texts contain.
+_ANCHOR = "licen[cs]|copyright|hereby|redistribution"
+_TAG = r"(?i)spdx-license-identifier:\s*\(?\s*([a-z0-9.+-]*[a-z0-9+])"
+_FULL = sorted((p.stem, p.read_text(errors="replace")) for p in (Path(__file__).parent / "licences").glob("*.txt"))
+#: Full texts of more words are compared with whole files only.
+WINDOW_WORDS = 300
 
 
 def _terms(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def scan(files: DataFrame, id_col: str, path: Column, text_col: str = "text", *, templates=TEMPLATES, least: float = 0.6, file_share: float = 0.3) -> DataFrame:
+def scan(files: DataFrame, id_col: str, path: Column, text_col: str = "text", *, templates=TEMPLATES, least: float = 0.6, file_share: float = 0.3, least_window: float = 0.8) -> DataFrame:
     """doc_id, path, license, score, origin (own, inherited, none), from_dir of every row."""
     spark = files.sparkSession
     text = F.col(text_col).cast("string")
@@ -62,7 +81,71 @@ def scan(files: DataFrame, id_col: str, path: Column, text_col: str = "text", *,
     scored = dots.join(sized, "line").join(F.broadcast(lengths), "template").select("line", "license", F.round(F.col("dot") / (F.col("norm") * F.col("length")), 6).alias("score"))
     best = scored.where(F.col("score") >= least).groupBy("line").agg(F.max("score").alias("score"), F.min_by("license", F.struct(-F.col("score"), F.col("license"))).alias("license"))
     matched = found.select("doc_id", "path", "size", "line").join(best, "line").groupBy("doc_id", "path", "size").agg(F.max("score").alias("score"), F.min_by("license", F.struct(-F.col("score"), F.col("license"))).alias("license"), F.sum(F.length("line")).alias("licensed"))
-    return _inherit(rows, matched, file_share)
+    return _inherit(rows, _with_passages(files.select(F.col(id_col).alias("doc_id"), path.cast("string").alias("path"), F.length(text).alias("size"), text.alias("text")), matched, templates, least, least_window), file_share)
+
+
+_FILE = ["doc_id", "path", "size"]
+
+
+def _words(text: str) -> list[str]:
+    return [t for t in re.split("[^a-z0-9]+", text.lower()) if t]
+
+
+def _passage_scores(passages: DataFrame, bodies, everything, least: float) -> DataFrame:
+    """passage, score, license: the best of `bodies` (license, text) for each distinct array of words that reaches `least`."""
+    spark = passages.sparkSession
+    df = Counter(t for _, b in everything for t in set(_words(b)))
+    idf = {t: math.log((1 + len(everything)) / (1 + n)) + 1 for t, n in df.items()}
+    vectors: dict[str, list[float]] = {t: [0.0] * len(bodies) for t in idf}
+    for i, (_, b) in enumerate(bodies):
+        y = {t: (1 + math.log(c)) * idf[t] for t, c in Counter(_words(b)).items()}
+        length = math.sqrt(sum(v * v for v in y.values()))
+        for t, v in y.items():
+            vectors[t][i] = v / length
+    # the templates are a parameter
+    known = F.broadcast(spark.createDataFrame([(t, idf[t], y) for t, y in vectors.items()], "term string, idf double, y array<double>"))
+    terms = passages.select("passage", F.explode("words").alias("term")).groupBy("passage", "term").agg(F.count("*").alias("tf"))
+    x = terms.join(known, "term", "left").select("passage", "y", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(math.log(1 + len(everything)) + 1))).alias("x"))
+    dots = x.groupBy("passage").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), *(F.sum(F.col("x") * F.col("y")[i]).alias(f"d{i}") for i in range(len(bodies))))
+    scores = F.array(*(F.struct(F.round(-F.coalesce(f"d{i}", F.lit(0.0)) / F.col("norm"), 6).alias("s"), F.lit(k).alias("k")) for i, (k, _) in enumerate(bodies)))
+    best = dots.select("passage", F.array_min(scores).alias("b"))
+    return best.where(-F.col("b.s") >= least).select("passage", (-F.col("b.s")).alias("score"), F.col("b.k").alias("license"))
+
+
+def _with_passages(texts: DataFrame, matched: DataFrame, templates, least: float, least_window: float) -> DataFrame:
+    """The matches of lines, and those of tags, whole texts and windows."""
+    ids = sorted({k for k, _ in templates} | {k for k, _ in _FULL})
+    known = F.create_map(*(F.lit(x) for k in ids for name in (k, f"{k}-only", f"{k}-or-later", f"{k}+") for x in (name.lower(), k)))
+    spoken = texts.where(F.col("text").rlike(f"(?i){_ANCHOR}|spdx"))
+    tags = spoken.select(*_FILE, F.explode(F.regexp_extract_all("text", F.lit(_TAG), 1)).alias("tag")).select(*_FILE, known[F.lower("tag")].alias("license")).where("license is not null")
+    # of several tags the licence first in order
+    tagged = tags.groupBy(*_FILE).agg(F.min("license").alias("license")).select(*_FILE, F.lit(1.0).alias("score"), "license", F.lit(0).alias("licensed"), F.lit(0).alias("rank"))
+
+    everything = [*templates, *_FULL]
+    # steps are written, as later ones read them more than once
+    worded = materialize(spoken.select(*_FILE, _terms(F.col("text")).alias("words")).withColumn("passage", F.sha2(F.array_join("words", " "), 256)), "licence-words")
+    short = min(len(_words(b)) for _, b in _FULL) // 2
+    # a text shares its scores with its copies
+    large = worded.where(F.size("words") >= short)
+    whole = _passage_scores(large.select("passage", "words").dropDuplicates(["passage"]), _FULL, everything, least)
+    files = large.select(*_FILE, "passage").join(whole, "passage").select(*_FILE, "score", "license", F.col("size").alias("licensed"), F.lit(1).alias("rank"))
+    lines = matched.select(*_FILE, "score", "license", "licensed", F.lit(2).alias("rank"))
+    found = materialize(tagged.unionByName(files).unionByName(lines), "licence-found")
+
+    pieces = [*templates, *((k, b) for k, b in _FULL if len(_words(b)) <= WINDOW_WORDS)]
+    sizes = sorted({len(_words(b)) for _, b in pieces})
+    keys = [worded[c].eqNullSafe(F.col(f"_{c}")) for c in _FILE]
+    done = found.select(*(F.col(c).alias(f"_{c}") for c in _FILE)).distinct()
+    left = materialize(worded.join(done, keys[0] & keys[1] & keys[2], "left_anti"), "licence-left")
+    at = left.select(*_FILE, "words", F.posexplode("words").alias("pos", "word")).where(F.col("word").rlike(_ANCHOR))
+    starts = F.flatten(F.array(*(F.transform(F.sequence(F.greatest(F.col("pos") - (n - 1), F.lit(0)), F.col("pos"), F.lit(max(1, n // 10))), lambda s, n=n: F.struct(s.alias("from"), F.lit(n).alias("n"))) for n in sizes)))
+    windows = at.select(*_FILE, "words", F.explode(starts).alias("s")).select(*_FILE, F.slice("words", F.col("s.from") + 1, F.col("s.n")).alias("words")).withColumn("passage", F.array_join("words", " "))
+    windows = materialize(windows.distinct(), "licence-windows")
+    best = _passage_scores(windows.select("passage", "words").distinct(), pieces, everything, least_window)
+    inside = windows.join(best, "passage").groupBy(*_FILE).agg(F.max("score").alias("score"), F.min_by("license", F.struct(-F.col("score"), F.col("license"))).alias("license")).select(*_FILE, "score", "license", F.lit(0).alias("licensed"), F.lit(3).alias("rank"))
+    first = F.struct("rank", -F.col("score"), F.col("license"))
+    every = found.unionByName(inside).groupBy(*_FILE).agg(F.min_by("score", first).alias("score"), F.min_by("license", first).alias("license"), F.sum("licensed").alias("licensed"))
+    return materialize(every, "licence-own")
 
 
 def directory(path: Column) -> Column:
