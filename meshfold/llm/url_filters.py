@@ -1,8 +1,8 @@
 """URL filters by a path-template tree, in DataFrame functions only.
 
 Rules (host, path) decide what they fit and so label those urls. Per host, paths become templates: a segment
-with a digit is a variable, and so is one that fewer than `support` urls of the host have below the same parent;
-what lies below the second segment is folded. The tree of a url is: all urls, its first segment on
+with a digit is a variable, and so is one that fewer than `support` urls of the host have below the same parent.
+Levels go on until no path has a deeper segment; a path that has ended leaves the loop with its estimate. The tree of a url is: all urls, its first segment on
 all hosts, its host, and the template's levels below the host. A branch whose labelled rate of allowed urls
 does not differ from its parent's estimate by more than `z` standard errors is merged with its siblings, which
 is to take the parent's estimate; another one is smoothed towards it with `prior` urls' weight. A url that no
@@ -15,6 +15,8 @@ columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,10 +56,8 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"/+", "/"), r"/$", ""), r"[^/]*[0-9][^/]*", "{n}")
     rows = rows.select("*", rule.alias("rule"), verdict.alias("ruled"), shape.alias("shape"))
-    part = lambda k: F.split_part("shape", F.lit("/"), F.lit(k))
-    rows = rows.select("*", part(2).alias("s1"), part(3).alias("s2"), F.when(part(4) != "", "/**").otherwise("").alias("s3")).drop("shape")
     # one row for each host and shape from here on
-    kinds = rows.groupBy("host", "s1", "s2", "s3").agg(F.count("*").alias("n"), F.count("ruled").alias("m"), F.count_if(F.col("ruled") == "allow").alias("a"))
+    kinds = rows.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("ruled").alias("m"), F.count_if(F.col("ruled") == "allow").alias("a"))
 
     # each step is written: it is read twice by the next, and plans would double from step to step
     kinds = materialize(kinds, "url-kinds")
@@ -66,21 +66,30 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         own = df.groupBy(*by).agg(F.sum("m").alias("bm"), F.sum("a").alias("ba"))
         return materialize(df.join(own, by).withColumn(est, _estimate(F.col("bm"), F.col("ba"), parent, z, prior)).drop("bm", "ba"), "url-tree")
 
-    def general(df: DataFrame, by: list[str], seg: str, out: str) -> DataFrame:
-        seen = df.groupBy(*by, seg).agg(F.sum("n").alias("support"))
-        return materialize(df.join(seen, [*by, seg]).withColumn(out, F.when(F.col(seg).isin("", "{n}") | (F.col("support") >= support), F.col(seg)).otherwise("*")).drop("support"), "url-tree")
+    def general(df: DataFrame, k: int) -> DataFrame:
+        """Add segment k, or what stands for it, to the template t."""
+        df = df.withColumn("s", F.split_part("shape", F.lit("/"), F.lit(k + 1)))
+        seen = df.groupBy("host", "t", "s").agg(F.sum("n").alias("support"))
+        name = F.when(F.col("s").isin("", "{n}") | (F.col("support") >= support), F.col("s")).otherwise("*")
+        return materialize(df.join(seen, ["host", "t", "s"]).withColumn("t", F.when((F.lit(k) > 1) & (name == ""), F.col("t")).otherwise(F.concat("t", F.lit("/"), name))).drop("s", "support"), "url-tree")
 
-    kinds = general(kinds, ["host"], "s1", "t1")
-    kinds = general(kinds, ["host", "t1"], "s2", "t2")
+    kinds = general(kinds.withColumn("t", F.lit("")), 1)
     whole = kinds.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m"), F.coalesce(F.sum("a"), F.lit(0)).alias("a")).select(F.when(F.col("m") > 0, (F.col("a") + prior / 2) / (F.col("m") + prior)).otherwise(0.5).alias("e0"))
     kinds = kinds.join(F.broadcast(whole))  # one row
-    kinds = level(kinds, ["t1"], "e1", F.col("e0"))
+    kinds = level(kinds, ["t"], "e1", F.col("e0"))
     kinds = level(kinds, ["host"], "e2", F.col("e1"))
-    kinds = level(kinds, ["host", "t1"], "e3", F.col("e2"))
-    kinds = level(kinds, ["host", "t1", "t2", "s3"], "e4", F.col("e3"))
-    t = F.concat(F.lit("/"), "t1", F.when(F.col("t2") != "", F.concat(F.lit("/"), "t2")).otherwise(""), "s3")
-    judged = kinds.select("host", "s1", "s2", "s3", t.alias("template"), F.when(F.col("e4") >= purity, "allow").otherwise("block").alias("judged"))
-    return rows.join(judged, ["host", "s1", "s2", "s3"]).select("page_id", "host", "path", "rule", F.coalesce("ruled", "judged").alias("verdict"), "template")
+    kinds = level(kinds, ["host", "t"], "e", F.col("e2")).drop("e0", "e1", "e2")
+    depth = F.size(F.split("shape", "/")) - 1
+    ended, k = [], 2
+    while True:
+        kinds = level(general(kinds, k).withColumnRenamed("e", "up"), ["host", "t"], "e", F.col("up")).drop("up")
+        ended.append(kinds.where(depth < k))
+        kinds = kinds.where(depth >= k)
+        if not kinds.head(1):
+            break
+        k += 1
+    judged = reduce(DataFrame.union, ended).select("host", "shape", F.col("t").alias("template"), F.when(F.col("e") >= purity, "allow").otherwise("block").alias("judged"))
+    return rows.join(judged, ["host", "shape"]).select("page_id", "host", "path", "rule", F.coalesce("ruled", "judged").alias("verdict"), "template")
 
 
 def op9_url_filters(spark, sf_dir: str) -> DataFrame:
