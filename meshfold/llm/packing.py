@@ -80,7 +80,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(giving_back(cut), PIECES)
 
 
-def pack(pieces: DataFrame, *, capacity: int = 2048, max_docs: float = math.inf, max_attention: float = math.inf, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), rule: str = "norm", group: int = 40_000) -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: int = 2048, max_docs: float = 2048, max_attention: float = 2048 * 2048, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), rule: str = "norm", group: int = 40_000) -> DataFrame:
     """Add sequence_id and offset to a written table of pieces (dealing it out by rows must be repeatable)."""
     n = max(1, math.ceil(pieces.count() / group))
 
