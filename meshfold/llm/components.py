@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -24,32 +24,42 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[p[own]]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges (u, v), u > v: each node's larger neighbours move to the least node that it sees, itself included."""
     seen = edges.union(edges.select("v", "u"))
-    least = seen.groupBy("u").agg(F.min("v").alias("m"))
-    return seen.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+    # written, so that both sides of the join are plain exchanges, of which a hub's share can be split at run time
+    least = materialize(seen.groupBy("u").agg(F.min("v").alias("m")), "least")
+    return materialize(seen.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), "edges"), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Each node's smaller neighbours, and itself, move to the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    return materialize(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges"), least
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for each node of an edge: root is the least node of its component.
 
     A large-star and a small-star step in turn, each round written to the shared folder, until the edges no
-    longer change; the number of rounds grows with the logarithm of the component's diameter.
+    longer change; the number of rounds grows with the logarithm of the component's diameter. A round's tables
+    are deleted once the next one is written.
+
+    Cases: edges from a node to itself and repeated edges do not matter; edges with a null end are left out; no
+    edges give no rows; further columns are not read.
     """
-    now = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges")
+    now = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).isNull().alias("x"), F.col(b).isNull().alias("y")).where("u > v and not x and not y").select("u", "v").distinct(), "edges")
     mark = None
     while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.bit_xor(F.xxhash64("u", "v"))).first()
         if seen == mark or seen[0] == 0:
             break
         mark = seen
-        now = materialize(_small_star(_large_star(now)), "edges")
+        used = [now]
+        for step in (_large_star, _small_star):
+            now, least = step(now)
+            used += [least, now]
+        for table in used[:-1]:
+            discard(table)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
