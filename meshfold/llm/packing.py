@@ -28,8 +28,12 @@ PART_BYTES = 4 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def best_fit(items: np.ndarray, caps: np.ndarray, weights: np.ndarray, rule: str = "norm") -> np.ndarray:
-    """The bin of each item. items: n rows of sizes, one column for each capacity."""
+def best_fit(items: np.ndarray, caps: np.ndarray, weights: np.ndarray, rule: str = "norm", block: int = 512) -> np.ndarray:
+    """The bin of each item. items: n rows of sizes, one column for each capacity. Ties go to the oldest bin.
+
+    Items go in blocks; only bins with room for the smallest sizes of a block are looked at for its items, and bins
+    without room for anything still to come are closed.
+    """
     n = len(items)
     bins = np.empty(n, np.int64)
     if not n:
@@ -41,27 +45,35 @@ def best_fit(items: np.ndarray, caps: np.ndarray, weights: np.ndarray, rule: str
     w = weights[live]
     order = np.argsort(-(sizes * w).sum(1), kind="stable")
     least = np.minimum.accumulate(sizes[order][::-1], axis=0)[::-1]  # the smallest of what is still to come
-    room = np.empty((n, sizes.shape[1]))
-    name = np.empty(n, np.int64)
-    made = used = 0
-    eps = 1e-12
-    for step, i in enumerate(order):
-        if step % 512 == 0 and used:  # bins that can take none of the rest are closed
-            keep = (room[:used] + eps >= least[step]).all(1)
-            k = int(keep.sum())
-            room[:k], name[:k] = room[:used][keep], name[:used][keep]
-            used = k
-        x, r = sizes[i], room[:used]
-        left = r - x
-        fits = (left >= -eps).all(1)
-        if fits.any():
-            score = np.where(fits, (left * left * w).sum(1) if rule == "norm" else -(r * x * w).sum(1), np.inf)
-            b = int(score.argmin())
-            room[b] = left[b]
-        else:
-            b, room[used], name[used] = used, 1.0 - x, made
-            used, made = used + 1, made + 1
-        bins[i] = name[b]
+    dims, made, eps = sizes.shape[1], 0, 1e-12
+    all_room, all_name = np.empty((0, dims)), np.empty(0, np.int64)
+    for start in range(0, n, block):
+        part = order[start : start + block]
+        open_ = (all_room + eps >= least[start]).all(1)
+        all_room, all_name = all_room[open_], all_name[open_]
+        now = (all_room + eps >= sizes[part].min(0)).all(1)
+        used = int(now.sum())
+        room = np.empty((dims, used + len(part)))  # one row for each capacity
+        name = np.empty(used + len(part), np.int64)
+        room[:, :used], name[:used] = all_room[now].T, all_name[now]
+        for i in part:
+            x = sizes[i]
+            fit = np.flatnonzero(room[0, :used] >= x[0] - eps)
+            for d in range(1, dims):
+                fit = fit[room[d, fit] >= x[d] - eps]
+            if fit.size:
+                r = room[:, fit]
+                left = r - x[:, None]
+                b = int(fit[(w @ (left * left) if rule == "norm" else -(w * x) @ r).argmin()])
+                room[:, b] -= x
+            else:
+                b, room[:, used], name[used] = used, 1.0 - x, made
+                used, made = used + 1, made + 1
+            bins[i] = name[b]
+        all_room = np.concatenate([all_room[~now], room[:, :used].T])
+        all_name = np.concatenate([all_name[~now], name[:used]])
+        by_age = np.argsort(all_name)
+        all_room, all_name = all_room[by_age], all_name[by_age]
     return bins
 
 
