@@ -17,8 +17,11 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset and all runs in one process (tests)."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (given or _own_dir()).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
@@ -51,6 +54,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's estimate of the size of df: no row is read."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def slices(batches, rows: int = 512):
     """Cut Arrow batches into short ones, so that Python objects exist for few rows at a time."""
     for batch in batches:
@@ -58,11 +66,27 @@ def slices(batches, rows: int = 512):
             yield batch.slice(at, rows)
 
 
-def giving_back(run):
-    """A mapInArrow function after which the Python worker, which lives on, returns freed memory to the system."""
+_CACHES: list = []
+
+
+def worker_cache(make):
+    """A cache of what make(key) gives in a Python worker, for one operator's tasks: other operators' tasks empty it."""
+    cached = lru_cache(maxsize=2)(make)
+    _CACHES.append(cached)
+    return cached
+
+
+def giving_back(run, uses=None):
+    """A mapInArrow function after which the Python worker, which lives on, returns freed memory to the system.
+
+    Before it, what other operators have left in the worker goes; `uses` is the worker_cache that stays.
+    """
 
     @wraps(run)
     def task(batches):
+        for cached in _CACHES:
+            if cached is not uses:
+                cached.cache_clear()
         try:
             yield from run(batches)
         finally:

@@ -8,19 +8,20 @@ transition carries the change of the number of tokens of the prefix, and that of
 
 White space puts the transducer in its start state. A chunk's state map is therefore a constant but for the
 field open at its edges: (field before the first white space, count inside, field after the last). Maps
-compose associatively; a text's chunks go through a parallel prefix scan.
+compose associatively. Every text is cut into chunks; the maps of all chunks of a batch are made together, and a
+parallel prefix scan composes them, a level of all texts at a time.
 
-Fields with characters whose normal form or class could depend on the library's tables (all but ASCII and the
-letters of Latin-1), and with special strings, take an escape transition: the library counts them.
+Bytes come from the library's own normalizer and splitter; for fields of ASCII and Latin-1 letters a plain form of
+both does the same. Only fields that may hold a special string (`<|`) take an escape transition: the library counts them.
 
-Cases: a null or empty text has no tokens; texts of any length go in chunks; each row is counted on its own,
-so ties and repeats do not matter; a null id is kept; an empty table gives no rows.
+Cases: a null or empty text has no tokens; texts of any length go in chunks; an open field is a rope of its chunks'
+pieces until white space closes it; each row is counted on its own, so ties and repeats do not matter; a null id is
+kept; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import giving_back, worker_cache
 from .tokens import SAFE, WORDS, Generations, distinct_items, parts_of
 
 
@@ -116,7 +118,7 @@ class FieldCounter:
         self.tok.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.bytes = {c: b for b, c in byte_symbols().items()}
         self.words = WordTransducer(spec)
         self.known = Generations(limit)
 
@@ -124,85 +126,97 @@ class FieldCounter:
         return len(self.tok.encode(text, add_special_tokens=False).ids)
 
     def field(self, field: str) -> int:
-        if not SAFE.fullmatch(field) or ("<|" in field and any(s in field for s in self.special)):
+        if "<|" in field:
             return self.by_library(field)
-        return sum(self.words.count(w.encode()) for w in WORDS.findall(field.lower()))
+        if SAFE.fullmatch(field):
+            return sum(self.words.count(w.encode()) for w in WORDS.findall(field.lower()))
+        parts = self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(field))
+        return sum(self.words.count(bytes(map(self.bytes.__getitem__, w))) for w, _ in parts if w)
 
-    def learn(self, fields: list[str]) -> None:
+    def counts(self, fields: list[str]) -> np.ndarray:
         new = self.known.missing(set(fields))
         self.known.now.update((f, self.field(f)) for f in new)
+        return np.fromiter(map(self.known.now.__getitem__, fields), np.int64, len(fields))
 
-    def fields(self, fields: list[str]) -> int:
-        self.learn(fields)
-        return sum(map(self.known.now.__getitem__, fields))
 
-    def column(self, texts: pa.Array) -> np.ndarray:
-        """The number of tokens of each text."""
-        fields, at, starts = distinct_items(texts)
-        self.learn(fields)
-        n = np.fromiter(map(self.known.now.__getitem__, fields), np.int64, len(fields))[at]
-        return np.diff(np.concatenate([[0], np.cumsum(n)])[starts])
-
-
-@lru_cache(maxsize=2)
+@worker_cache
 def field_counter(file: str) -> FieldCounter:
     """One counter for all tasks of a Python worker: its transducer goes on growing."""
     return FieldCounter(file)
 
 
-_SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
-
-#: A chunk's state map: (text without white space, None, None), or (field at the left edge, count inside, field at the right edge).
+#: A chunk's state map: (field at the left edge, count inside, field at the right edge); (text, None, None) without white space.
+#: Fields at the edges are ropes: a text, or a pair of ropes.
 StateMap = tuple
 
 
-def state_map(counter: FieldCounter, chunk: str) -> StateMap:
-    fields = chunk.translate(_SPACES).split(" ")
-    if len(fields) == 1:
-        return chunk, None, None
-    left, right = fields.pop(0), fields.pop()
-    return left, counter.fields(fields), right
-
-
-def compose(counter: FieldCounter, a: StateMap, b: StateMap) -> StateMap:
-    if a[1] is None:
-        return a[0] + b[0], b[1], b[2]
-    if b[1] is None:
-        return a[0], a[1], a[2] + b[0]
-    edge = a[2] + b[0]
-    return a[0], a[1] + b[1] + (counter.fields([edge]) if edge else 0), b[2]
-
-
-def scan(counter: FieldCounter, maps: list[StateMap]) -> list[StateMap]:
-    """Inclusive prefix scan: pairs are composed, their prefixes found, and the odd places filled in; depth is logarithmic."""
-    if len(maps) < 2:
-        return maps
-    pairs = scan(counter, [compose(counter, a, b) for a, b in zip(maps[::2], maps[1::2])])
-    return [maps[0]] + [pairs[i // 2] if i % 2 else compose(counter, pairs[i // 2 - 1], maps[i]) for i in range(1, len(maps))]
-
-
-def count_text(counter: FieldCounter, text: str | None, chunk: int = 1 << 16) -> int:
-    if not text:
-        return 0
-    left, inside, right = scan(counter, [state_map(counter, text[i : i + chunk]) for i in range(0, len(text), chunk)])[-1]
-    return (inside or 0) + counter.fields([f for f in (left, right) if f])
-
-
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer: str = "word_bpe_49k.json", limit: int = 2048, chunk: int = 1 << 16) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of every row; no shuffle."""
+def text_of(rope) -> str:
+    parts, open_ = [], [rope]
+    while open_:
+        x = open_.pop()
+        if isinstance(x, str):
+            parts.append(x)
+        else:
+            open_ += (x[1], x[0])
+    return "".join(parts)
+
+
+def state_maps(counter: FieldCounter, chunks: list[str]) -> list[StateMap]:
+    column = pa.array(chunks, pa.string())
+    cut = pc.ascii_split_whitespace(column)
+    items, at, _ = distinct_items(column, cut)
+    total = np.concatenate([[0], np.cumsum(counter.counts(items)[at].reshape(-1, 2).sum(axis=1))])
+    flat, offsets = cut.flatten(), np.asarray(cut.offsets) - cut.offsets[0].as_py()
+    first, last = offsets[:-1], offsets[1:] - 1
+    inside = (total[last] - total[np.minimum(first + 1, last)]).tolist()
+    left, right = (flat.take(pa.array(x)).to_pylist() for x in (first, last))
+    return [(x, n, y) if more else (x, None, None) for x, n, y, more in zip(left, inside, right, (last > first).tolist())]
+
+
+def compose(counter: FieldCounter, pairs: list[tuple[StateMap, StateMap]]) -> list[StateMap]:
+    """The maps of pairs of neighbours; the fields that close between them are counted together."""
+    edges = [text_of((a[2], b[0])) if a[1] is not None and b[1] is not None else "" for a, b in pairs]
+    out = []
+    for (a, b), n in zip(pairs, counter.counts(edges).tolist()):
+        if a[1] is None:
+            out.append(((a[0], b[0]), b[1], b[2]))
+        elif b[1] is None:
+            out.append((a[0], a[1], (a[2], b[0])))
+        else:
+            out.append((a[0], a[1] + n + b[1], b[2]))
+    return out
+
+
+def scan(counter: FieldCounter, rows: list[list[StateMap]]) -> list[list[StateMap]]:
+    """Inclusive prefix scans of all rows: pairs are composed, their prefixes found, and the odd places filled in; depth is logarithmic."""
+    if all(len(r) < 2 for r in rows):
+        return rows
+    pairs = iter(compose(counter, [p for r in rows for p in zip(r[::2], r[1::2])]))
+    halves = scan(counter, [[next(pairs) for _ in range(len(r) // 2)] for r in rows])
+    rest = iter(compose(counter, [(h[i // 2 - 1], r[i]) for r, h in zip(rows, halves) for i in range(2, len(r), 2)]))
+    return [[(h[i // 2] if i % 2 else next(rest)) if i else r[0] for i in range(len(r))] for r, h in zip(rows, halves)]
+
+
+def count_texts(counter: FieldCounter, texts: list[str | None], chunk: int) -> np.ndarray:
+    """The number of tokens of each text."""
+    cut = [[t[i : i + chunk] for i in range(0, len(t), chunk)] if t else [] for t in texts]
+    maps = iter(state_maps(counter, [c for x in cut for c in x]))
+    wholes = [r[-1] if r else ("", None, None) for r in scan(counter, [[next(maps) for _ in x] for x in cut])]
+    edges = counter.counts([text_of(x) if x else "" for w in wholes for x in (w[0], w[2])])
+    return edges.reshape(-1, 2).sum(axis=1) + np.array([w[1] or 0 for w in wholes], np.int64)
+
+
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer: str = "word_bpe_49k.json", limit: int = 2048, chunk: int = 2048) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit of every row; no shuffle. chunk: characters."""
 
     def run(batches):
         counter = field_counter(tokenizer)
         for b in (p for batch in batches for p in parts_of(batch, 1, 4 << 20)):
             size = pc.binary_length(b.column(1)).fill_null(0).cast(pa.int64())
-            long_ = [i for i, s in enumerate(size.to_pylist()) if s > chunk]
-            short = b.column(1) if not long_ else pc.if_else(pc.greater(size, chunk), "", b.column(1))
-            n = counter.column(short)
-            for i in long_:
-                n[i] = count_text(counter, b.column(1)[i].as_py(), chunk)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_bytes": size, "n_tokens": pa.array(n), "over_limit": pa.array(n > limit)})
-
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+            n = count_texts(counter, b.column(1).to_pylist(), chunk)
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_bytes": size, "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array(n > limit)})
+
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(giving_back(run, field_counter), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -19,6 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from .common import worker_cache
+
 MARKS = ".,;:!?|"
 _LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 _WORD = re.compile("[a-zß-öø-ÿ]+")
@@ -27,13 +28,14 @@ WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø
 SAFE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 
 
-def distinct_items(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def distinct_items(texts: pa.Array, cut: pa.ListArray | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct items of a column of texts, the number of each item in turn, and where each text's items begin.
 
     A field of letters and at most one mark after them is two items, its word in lower case and the mark (or
     nothing): the splitter parts them and the tokenizer lower-cases. Any other field is one item and nothing.
+    `cut`: the texts' fields, where they are known.
     """
-    cut = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))
+    cut = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null("")) if cut is None else cut
     coded = cut.flatten().dictionary_encode()
     fields, at = coded.dictionary, coded.indices.to_numpy()
     starts = np.asarray(cut.offsets) - cut.offsets[0].as_py()
@@ -143,7 +145,7 @@ class ItemEncoder:
         return flat[place], np.concatenate([[0], ends])[starts]
 
 
-@lru_cache(maxsize=2)
+@worker_cache
 def encoder(file: str) -> ItemEncoder:
     """One encoder for all tasks of a Python worker: loading the file and learning common fields happen once."""
     return ItemEncoder(file)
