@@ -49,8 +49,22 @@ def test_odd_texts(tokenizer):
     ids, at = tokens.ItemEncoder(items=100).ids(pa.array(texts))
     assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:])] == want
     counter = token_counts.FieldCounter(limit=100)
-    assert counter.column(pa.array(texts)).tolist() == [len(w) for w in want]
-    assert [token_counts.count_text(counter, t, 7) for t in texts] == [len(w) for w in want]
+    for chunk in (1, 7, 2048):
+        assert token_counts.count_texts(counter, texts, chunk).tolist() == [len(w) for w in want]
+    # one field over many chunks, in a scan of several levels
+    long_ = ["x" * 5000, "ab" * 900 + " " + "終わり" * 300, " " * 3000, ""]
+    assert token_counts.count_texts(counter, long_, 16).tolist() == [len(ids_of(tokenizer, t)) for t in long_]
+
+
+def test_transducer_counts_other_scripts(tokenizer, monkeypatch):
+    counter = token_counts.FieldCounter(limit=100)
+    monkeypatch.setattr(counter, "by_library", None)  # no such field goes to the library
+    texts = ["Привет, мир! Ёлка", "中文 文章。测试", "a\u0301 e\u0301te\u0301", "“quoted” — text…", "İstanbul ǅ ẞ", "１２３ Ⅷ ½", "\u200b\ufeff x\u3000y", "नमस्ते दुनिया", "😀 👍🏽 it’s"]
+    assert token_counts.count_texts(counter, texts, 3).tolist() == [len(ids_of(tokenizer, t)) for t in texts]
+
+
+def test_token_counts_of_no_rows(docs):
+    assert token_counts.token_counts(docs.limit(0)).collect() == []
 
 
 def test_token_output(spark, docs, tokenizer):
@@ -235,7 +249,7 @@ def test_embeddings(spark, cap):
     vectors = [(b + 0.05 * rng.normal(size=16)).tolist() for b in base for _ in range(6)] + [base[0].tolist()] * 3 + [(2 * base[1]).tolist()]
     vectors += [None, [], [0.0] * 16, [float("nan")] * 16, [None] * 16, [float("inf")] * 16, [1.0, 2.0], [2.0, 4.1]]
     rows = [(None if i == 3 else i, v) for i, v in enumerate(vectors)]
-    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), pivots=16, cap=cap)
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cap=cap)
     links = brute_links(vectors)
     p = brute_roots(len(vectors), links)
     n = np.bincount(np.array(links).ravel(), minlength=len(vectors))
@@ -244,13 +258,44 @@ def test_embeddings(spark, cap):
 
 
 def test_embeddings_recall(spark):
-    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    vectors = [r.embedding for r in table.orderBy("vec_id").collect()]
-    x = np.array(vectors, float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    want = int((x @ x.T >= 0.95).sum()) - len(x)
-    got = embedding_dedup.near_duplicates(table).agg({"n_links": "sum"}).first()[0]
-    assert 0.9 * want <= got <= want
+    """Groups of near vectors of many sizes among others, some in a second space of another length."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for dim, n in ((64, 1500), (1088, 60)):
+        base = rng.normal(size=(n, dim))
+        groups = [b + rng.uniform(0.02, 0.2) * rng.normal(size=(int(rng.integers(2, 9)), dim)) for b in base[: n // 3]] + [base[0] + 0.1 * rng.normal(size=(150 if dim == 64 else 3, dim))]
+        rows += np.concatenate([base, *groups]).tolist()
+    want = np.zeros(len(rows), np.int64)
+    for dim in (64, 1088):
+        at = [i for i, r in enumerate(rows) if len(r) == dim]
+        x = np.array([rows[i] for i in at])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        want[at] = (x @ x.T >= 0.95).sum(axis=1) - 1
+    table = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    got = np.array([r.n_links for r in embedding_dedup.near_duplicates(table).orderBy("vec_id").collect()])
+    assert (got <= want).all() and want.sum() > 5000 and got.sum() >= 0.98 * want.sum()
+
+
+def test_pivot_order():
+    rng = np.random.default_rng(9)
+    x, p = rng.normal(size=(50, 6)), rng.normal(size=(40, 6))
+    near = embedding_dedup.nearest_pivots(x, p, 5)
+    assert near.tolist() == [np.argsort(-(p @ v), kind="stable")[:5].tolist() for v in x]
+    count = embedding_dedup.shared_pivots(near, near, 2)
+    for i in range(50):
+        for j in range(50):
+            assert count[i, j] == sum(abs(a - b) <= 2 and near[i, a] == near[j, b] for a in range(5) for b in range(5))
+
+
+def test_mixed_lengths(spark):
+    """Lengths that agree modulo powers of two are different spaces."""
+    rng = np.random.default_rng(10)
+    near = lambda d: (np.ones(d) + 0.01 * rng.normal(size=d)).tolist()
+    rows = [near(d) for d in (8, 1032, 512, 1536, 256, 1280) for _ in range(3)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>"))
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got.collect()) == [(i, 2, i - i % 3) for i in range(18)]
+    none = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert embedding_dedup.near_duplicates(none).collect() == []
 
 
 def test_urls(spark):
@@ -268,3 +313,23 @@ def test_licenses(spark, docs):
     assert (rows[1].license, rows[1].origin, rows[1].from_dir) == ("MIT", "inherited", "c") and rows[4].license == "MIT"
     assert rows[None].origin == "none"
     assert license_scan.scan(docs.limit(0), "doc_id", F.lit("a/b")).collect() == []
+
+
+def test_numerals_are_no_letters(spark):
+    texts = ["½ ² ① Ⅷ", "12 ½", "日本語", "一二", "ªº", "x²", "é", "_ __"]
+    have = [bool(language_id.letters_of(t)) for t in texts]
+    assert have == [False, False, True, True, True, True, True, False]
+    rows = [(i, t, "en" if i % 2 else "fr") for i, t in enumerate(["the quick brown fox", "le chat dort"] * 5 + texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs.where("doc_id < 10"), least_words=1, least_grams=1)
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, model).collect()}
+    assert [got[10 + i] == "und" for i in range(len(texts))] == [not h for h in have]
+
+
+def test_unknown_text_goes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit_documents(docs)
+    odd = spark.createDataFrame([(1, "xqzzkv wqjjx zzqkrt qxqxw vvkqz"), (2, "これは日本語の文章です"), (3, docs.where("lang = 'en' and n_chars > 300").first()["text"])], "doc_id long, text string")
+    assert [r.doc_id for r in language_id.keep_identified(odd, model).collect()] == [3]
+    lettered = docs.where(docs.text.rlike("[A-Za-z]{3}"))
+    assert language_id.keep_identified(docs, model).count() >= 0.99 * lettered.count()
