@@ -15,8 +15,10 @@ longer ones, if that reaches `least_window`. Their weights are (1 + ln count) ti
 over the templates alone, so they do not depend on the table. Precedence: tag, whole text, line, window.
 
 Cases: a null or empty text has no licence of its own but may inherit; a null path has no directory and no
-inheritance; repeated rows are judged alike; of several licence files in a directory the best score, then the
-licence first in order, counts; an empty table gives no rows; further columns are not read.
+inheritance; a row that repeats (same id, path and text) is one file, so its lines count once, and all of its rows are
+judged alike; rows that share id and path but not the text are files of their own; of several licence files in a
+directory the best score, then the licence first in order, counts; an empty table gives no rows; further columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -50,6 +53,7 @@ _KEY = "(?i)licen[cs]e|copyright|spdx"
 _ANCHOR = "licen[cs]|copyright|hereby|redistribution"
 _TAG = r"(?i)spdx-license-identifier:\s*\(?\s*([a-z0-9.+-]*[a-z0-9+])"
 _FULL = sorted((p.stem, p.read_text(errors="replace")) for p in (Path(__file__).parent / "licences").glob("*.txt"))
+_FILE = ["doc_id", "path", "size", "key"]
 #: Full texts of more words are compared with whole files only.
 WINDOW_WORDS = 300
 
@@ -63,8 +67,10 @@ def scan(files: DataFrame, id_col: str, path: Column, text_col: str = "text", *,
     spark = files.sparkSession
     text = F.col(text_col).cast("string")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(_KEY))
-    rows = files.select(F.col(id_col).alias("doc_id"), path.cast("string").alias("path"), lines.alias("lines"), F.length(text).alias("size"))
-    found = rows.where(F.size("lines") > 0).select("doc_id", "path", "size", "lines", F.explode("lines").alias("line"))
+    key = F.sha2(F.coalesce(text, F.lit("")), 256)
+    rows = files.select(F.col(id_col).alias("doc_id"), path.cast("string").alias("path"), lines.alias("lines"), F.length(text).alias("size"), key.alias("key"))
+    # a file is an id, a path and a text; its rows count once
+    found = materialize(rows.where(F.size("lines") > 0).dropDuplicates(_FILE).select(*_FILE, F.explode("lines").alias("line")), "licence-lines")
     kinds = found.groupBy("line").agg(F.count("*").alias("n"))
     terms = kinds.select("line", "n", F.explode(_terms(F.col("line"))).alias("term")).groupBy("line", "n", "term").agg(F.count("*").alias("tf"))
     whole = kinds.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"))
@@ -79,12 +85,10 @@ def scan(files: DataFrame, id_col: str, path: Column, text_col: str = "text", *,
     lengths = asked.groupBy("template").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("length"))
     dots = lined.join(asked, "term").groupBy("line", "template", "license").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
     scored = dots.join(sized, "line").join(F.broadcast(lengths), "template").select("line", "license", F.round(F.col("dot") / (F.col("norm") * F.col("length")), 6).alias("score"))
-    best = scored.where(F.col("score") >= least).groupBy("line").agg(F.max("score").alias("score"), F.min_by("license", F.struct(-F.col("score"), F.col("license"))).alias("license"))
-    matched = found.select("doc_id", "path", "size", "line").join(best, "line").groupBy("doc_id", "path", "size").agg(F.max("score").alias("score"), F.min_by("license", F.struct(-F.col("score"), F.col("license"))).alias("license"), F.sum(F.length("line")).alias("licensed"))
-    return _inherit(rows, _with_passages(files.select(F.col(id_col).alias("doc_id"), path.cast("string").alias("path"), F.length(text).alias("size"), text.alias("text")), matched, templates, least, least_window), file_share)
-
-
-_FILE = ["doc_id", "path", "size"]
+    # written, so that a line that many files have can be split at run time
+    best = materialize(scored.where(F.col("score") >= least).groupBy("line").agg(F.max("score").alias("score"), F.min_by("license", F.struct(-F.col("score"), F.col("license"))).alias("license")), "licence-best")
+    matched = found.join(best, "line").groupBy(*_FILE).agg(F.max("score").alias("score"), F.min_by("license", F.struct(-F.col("score"), F.col("license"))).alias("license"), F.sum(F.length("line")).alias("licensed"))
+    return _inherit(rows, _with_passages(files.select(F.col(id_col).alias("doc_id"), path.cast("string").alias("path"), F.length(text).alias("size"), key.alias("key"), text.alias("text")), matched, templates, least, least_window), file_share)
 
 
 def _words(text: str) -> list[str]:
@@ -123,7 +127,7 @@ def _with_passages(texts: DataFrame, matched: DataFrame, templates, least: float
 
     everything = [*templates, *_FULL]
     # steps are written, as later ones read them more than once
-    worded = materialize(spoken.select(*_FILE, _terms(F.col("text")).alias("words")).withColumn("passage", F.sha2(F.array_join("words", " "), 256)), "licence-words")
+    worded = materialize(spoken.dropDuplicates(_FILE).select(*_FILE, _terms(F.col("text")).alias("words")).withColumn("passage", F.sha2(F.array_join("words", " "), 256)), "licence-words")
     short = min(len(_words(b)) for _, b in _FULL) // 2
     # a text shares its scores with its copies
     large = worded.where(F.size("words") >= short)
@@ -136,7 +140,7 @@ def _with_passages(texts: DataFrame, matched: DataFrame, templates, least: float
     sizes = sorted({len(_words(b)) for _, b in pieces})
     keys = [worded[c].eqNullSafe(F.col(f"_{c}")) for c in _FILE]
     done = found.select(*(F.col(c).alias(f"_{c}") for c in _FILE)).distinct()
-    left = materialize(worded.join(done, keys[0] & keys[1] & keys[2], "left_anti"), "licence-left")
+    left = materialize(worded.join(done, reduce(Column.__and__, keys), "left_anti"), "licence-left")
     at = left.select(*_FILE, "words", F.posexplode("words").alias("pos", "word")).where(F.col("word").rlike(_ANCHOR))
     starts = F.flatten(F.array(*(F.transform(F.sequence(F.greatest(F.col("pos") - (n - 1), F.lit(0)), F.col("pos"), F.lit(max(1, n // 10))), lambda s, n=n: F.struct(s.alias("from"), F.lit(n).alias("n"))) for n in sizes)))
     windows = at.select(*_FILE, "words", F.explode(starts).alias("s")).select(*_FILE, F.slice("words", F.col("s.from") + 1, F.col("s.n")).alias("words")).withColumn("passage", F.array_join("words", " "))
@@ -153,14 +157,16 @@ def directory(path: Column) -> Column:
 
 
 def _inherit(rows: DataFrame, matched: DataFrame, file_share: float) -> DataFrame:
-    own = matched.select(F.col("doc_id").alias("i"), F.col("path").alias("p"), F.col("size").alias("s"), "score", "license", "licensed")
+    own = matched.select(F.col("doc_id").alias("i"), F.col("path").alias("p"), F.col("size").alias("s"), F.col("key").alias("k"), "score", "license", "licensed")
     grants = own.where(F.col("p").isNotNull() & (F.col("licensed") >= file_share * F.col("s"))).groupBy(directory(F.col("p")).alias("from_dir")).agg(F.min_by("license", F.struct(-F.col("score"), F.col("license"))).alias("given"))
     dirs = rows.select(directory(F.col("path")).alias("dir")).where("dir is not null").distinct()
     parts = F.split("dir", "/")
     above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("from_dir")))).alias("a")).select("dir", "a.*")
-    nearest = above.join(grants, "from_dir").groupBy("dir").agg(F.max_by(F.struct("from_dir", "given"), "depth").alias("up"))
-    base = rows.select("doc_id", "path", "size", directory(F.col("path")).alias("dir"))
-    held = base.join(own, base.doc_id.eqNullSafe(F.col("i")) & base.path.eqNullSafe(F.col("p")) & base["size"].eqNullSafe(F.col("s")), "left").join(nearest, "dir", "left")
+    # written, so that a directory of many files can be split at run time
+    nearest = materialize(above.join(grants, "from_dir").groupBy("dir").agg(F.max_by(F.struct("from_dir", "given"), "depth").alias("up")), "licence-dirs")
+    base = rows.select(*_FILE, directory(F.col("path")).alias("dir"))
+    same = base.doc_id.eqNullSafe(F.col("i")) & base.path.eqNullSafe(F.col("p")) & base["size"].eqNullSafe(F.col("s")) & (base.key == F.col("k"))
+    held = base.join(own, same, "left").join(nearest, "dir", "left")
     origin = F.when(F.col("license").isNotNull(), "own").when(F.col("up").isNotNull(), "inherited").otherwise("none")
     return held.select("doc_id", "path", F.coalesce("license", "up.given").alias("license"), F.coalesce("score", F.lit(0.0)).alias("score"), origin.alias("origin"), F.when(origin == "inherited", F.col("up.from_dir")).alias("from_dir"))
 

@@ -17,3 +17,15 @@ def test_headers_and_licence_files(spark):
     for i, k in enumerate(sorted(full)):
         assert (got[10 + i].license, got[10 + i].origin) == (k, "own")
         assert (got[20 + i].license, got[20 + i].origin, got[20 + i].from_dir) == (k, "inherited", k)
+
+
+def test_repeated_rows_count_once(spark):
+    """One licence line of 22 % of a text makes no licence file, however often the row stands in the table."""
+    line = "Released under the MIT License."
+    text = line + "\n" + "x" * (len(line) * 100 // 22 - len(line) - 1)
+    other = "plain words here"
+    for times in (1, 2, 5):
+        rows = [(1, "a/x", text, "clash")] * times + [(2, "a/y", other, "clash"), (1, "a/x", other, "clash")]
+        got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string, license string"), "doc_id", F.col("path")).collect()
+        assert sorted((r.doc_id, r.license, r.origin) for r in got if r.license) == [(1, "MIT", "own")] * times
+        assert sorted((r.doc_id, r.origin) for r in got if not r.license) == [(1, "none"), (2, "none")]
