@@ -2,22 +2,25 @@
 
 Rules (host, path) decide what they fit and so label those urls. Per host, paths become templates: a segment
 with a digit is a variable, and so is one that fewer than `support` urls of the host have below the same parent.
-Levels go on until no path has a deeper segment; a path that has ended leaves the loop with its estimate. The tree of a url is: all urls, its first segment on
-all hosts, its host, and the template's levels below the host. A branch whose labelled rate of allowed urls
-does not differ from its parent's estimate by more than `z` standard errors is merged with its siblings, which
-is to take the parent's estimate; another one is smoothed towards it with `prior` urls' weight. A url that no
-rule fits is allowed if its template's estimate is at least `purity`.
+Levels go on until no path has a deeper segment; a path that has ended leaves the loop with its estimate.
 
-Cases: a null url, or one without ://, has an empty host and path and the root's verdict; with no labelled
+Purity is the labelled rate of allowed urls. At each node of a host's tree the branches are put in order of their
+rates, and neighbours that do not differ by more than `z` standard errors of the difference of two rates are merged: a
+merged branch pools the labels of all its members. If its rate does not differ from the parent's estimate by more than
+`z` standard errors it takes that; otherwise its own rate, smoothed with `prior` urls of the parent's estimate. Branches
+without labels take the parent's. Above a host's tree stands the rate of all urls. A url that no rule fits is allowed if
+its template's estimate is at least `purity`.
+
+Cases: a null url, or one without ://, has an empty host and path and that empty host's verdict; with no labelled
 url the estimate is 1/2; repeated urls count as often as they occur; an empty table gives no rows; further
-columns are not read.
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -59,33 +62,45 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     # one row for each host and shape from here on
     kinds = rows.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("ruled").alias("m"), F.count_if(F.col("ruled") == "allow").alias("a"))
 
-    # each step is written: it is read twice by the next, and plans would double from step to step
-    kinds = materialize(kinds, "url-kinds")
-
-    def level(df: DataFrame, by: list[str], est: str, parent: Column) -> DataFrame:
-        own = df.groupBy(*by).agg(F.sum("m").alias("bm"), F.sum("a").alias("ba"))
-        return materialize(df.join(own, by).withColumn(est, _estimate(F.col("bm"), F.col("ba"), parent, z, prior)).drop("bm", "ba"), "url-tree")
+    def level(df: DataFrame) -> DataFrame:
+        """Replace e, the parent's estimate, by that of the merged branch; parent `up`, branch t."""
+        branches = df.groupBy("host", "up", "t").agg(F.sum("m").alias("bm"), F.sum("a").alias("ba"), F.max("e").alias("up_e"))
+        branches = branches.withColumn("rate", F.when(F.col("bm") > 0, F.col("ba") / F.col("bm")))
+        # branches of one rate are alike, so a node has a row for each rate and not for each branch
+        rates = branches.where("bm > 0").groupBy("host", "up", "rate").agg(F.sum("bm").alias("rm"), F.sum("ba").alias("ra"), F.max("up_e").alias("up_e"))
+        by_rate = Window.partitionBy("host", "up").orderBy("rate")
+        before = lambda c: F.lag(c).over(by_rate)
+        pooled = (before("ra") + F.col("ra")) / (before("rm") + F.col("rm"))
+        differs = F.col("rate") - before("rate") > z * F.sqrt(pooled * (1 - pooled) * (1 / before("rm") + 1 / F.col("rm")))
+        rates = rates.withColumn("new", F.coalesce(differs, F.lit(False)).cast("int")).withColumn("merged", F.sum("new").over(by_rate))
+        whole = Window.partitionBy("host", "up", "merged")
+        rates = rates.withColumn("own", _estimate(F.sum("rm").over(whole), F.sum("ra").over(whole), F.col("up_e"), z, prior)).select("host", "up", "rate", "own")
+        named = branches.select("host", "up", "t", "rate").join(rates, ["host", "up", "rate"]).select("host", "up", "t", "own")
+        # steps are written: each is read twice by the next, and a host of many paths can be split at run time
+        named = materialize(named, "url-branches")
+        return materialize(df.join(named, ["host", "up", "t"], "left").withColumn("e", F.coalesce("own", "e")).drop("own"), "url-tree")
 
     def general(df: DataFrame, k: int) -> DataFrame:
-        """Add segment k, or what stands for it, to the template t."""
-        df = df.withColumn("s", F.split_part("shape", F.lit("/"), F.lit(k + 1)))
-        seen = df.groupBy("host", "t", "s").agg(F.sum("n").alias("support"))
+        """Add segment k, or what stands for it, to the template t; up is the one without."""
+        df = df.drop("up").withColumn("s", F.split_part("shape", F.lit("/"), F.lit(k + 1)))
+        seen = materialize(df.groupBy("host", "t", "s").agg(F.sum("n").alias("support")), "url-support")
         name = F.when(F.col("s").isin("", "{n}") | (F.col("support") >= support), F.col("s")).otherwise("*")
-        return materialize(df.join(seen, ["host", "t", "s"]).withColumn("t", F.when((F.lit(k) > 1) & (name == ""), F.col("t")).otherwise(F.concat("t", F.lit("/"), name))).drop("s", "support"), "url-tree")
+        named = df.join(seen, ["host", "t", "s"]).withColumnRenamed("t", "up")
+        return materialize(named.withColumn("t", F.when((F.lit(k) > 1) & (name == ""), F.col("up")).otherwise(F.concat("up", F.lit("/"), name))).drop("s", "support"), "url-tree")
 
-    kinds = general(kinds.withColumn("t", F.lit("")), 1)
+    kinds = materialize(kinds, "url-kinds")
     whole = kinds.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m"), F.coalesce(F.sum("a"), F.lit(0)).alias("a")).select(F.when(F.col("m") > 0, (F.col("a") + prior / 2) / (F.col("m") + prior)).otherwise(0.5).alias("e0"))
-    kinds = kinds.join(F.broadcast(whole))  # one row
-    kinds = level(kinds, ["t"], "e1", F.col("e0"))
-    kinds = level(kinds, ["host"], "e2", F.col("e1"))
-    kinds = level(kinds, ["host", "t"], "e", F.col("e2")).drop("e0", "e1", "e2")
+    hosts = kinds.groupBy("host").agg(F.sum("m").alias("bm"), F.sum("a").alias("ba")).join(F.broadcast(whole))  # one row
+    hosts = materialize(hosts.select("host", _estimate(F.col("bm"), F.col("ba"), F.col("e0"), z, prior).alias("e")), "url-hosts")
+    tree = kinds.join(hosts, "host").withColumn("t", F.lit(""))
     depth = F.size(F.split("shape", "/")) - 1
+    tree = level(general(tree, 1))
     ended, k = [], 2
     while True:
-        kinds = level(general(kinds, k).withColumnRenamed("e", "up"), ["host", "t"], "e", F.col("up")).drop("up")
-        ended.append(kinds.where(depth < k))
-        kinds = kinds.where(depth >= k)
-        if not kinds.head(1):
+        tree = level(general(tree, k))
+        ended.append(tree.where(depth < k))
+        tree = tree.where(depth >= k)
+        if not tree.head(1):
             break
         k += 1
     judged = reduce(DataFrame.union, ended).select("host", "shape", F.col("t").alias("template"), F.when(F.col("e") >= purity, "allow").otherwise("block").alias("judged"))
@@ -96,29 +111,41 @@ def op9_url_filters(spark, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-def _sql() -> str:
+def _sql(levels: int = 4) -> str:
+    """The DuckDB form; paths deeper than `levels` - 1 segments are judged at the last level."""
     ordered = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[1], r[2]))
     fit = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     case = lambda pick: "CASE " + " ".join(f"WHEN {fit(h, p)} THEN '{pick(v, h, p)}'" for v, h, p in ordered) + " END"
-    est = lambda by, parent: f"CASE WHEN sum(m) OVER (PARTITION BY {by}) > 0 AND abs((sum(a) OVER (PARTITION BY {by}))::double / sum(m) OVER (PARTITION BY {by}) - {parent}) > 2.0::double * sqrt({parent} * (1 - {parent}) / sum(m) OVER (PARTITION BY {by})) THEN ((sum(a) OVER (PARTITION BY {by}))::double + 4.0::double * {parent}) / ((sum(m) OVER (PARTITION BY {by}))::double + 4.0::double) ELSE {parent} END"
+    est = lambda m, a, e: f"CASE WHEN {m} > 0 AND abs({a}::double / {m} - {e}) > 2.0::double * sqrt({e} * (1 - {e}) / {m}) THEN ({a}::double + 4.0::double * {e}) / ({m}::double + 4.0::double) ELSE {e} END"
+    steps = [f"l0 AS (SELECT k.host, shape, len(string_split(shape, '/')) - 1 AS depth, n, m, a, h.e, '' AS t FROM kinds k JOIN hosts h USING (host))"]
+    for k in range(1, levels + 1):
+        live = "" if k < 3 else f" WHERE depth >= {k - 1}"
+        name = "CASE WHEN s IN ('', '{n}') OR sum(n) OVER (PARTITION BY host, t, s) >= 3 THEN s ELSE '*' END"
+        steps += [
+            f"s{k} AS (SELECT *, split_part(shape, '/', {k + 1}) AS s FROM l{k - 1}{live})",
+            f"t{k} AS (SELECT host, shape, depth, n, m, a, e, t AS up, CASE WHEN {k} > 1 AND nm = '' THEN t ELSE t || '/' || nm END AS t FROM (SELECT *, {name} AS nm FROM s{k}))",
+            f"b{k} AS (SELECT host, up, t, sum(m) AS bm, sum(a) AS ba, max(e) AS e, CASE WHEN sum(m) > 0 THEN sum(a)::double / sum(m) END AS rate FROM t{k} GROUP BY host, up, t)",
+            f"r{k} AS (SELECT host, up, rate, sum(bm) AS rm, sum(ba) AS ra, max(e) AS e FROM b{k} WHERE bm > 0 GROUP BY host, up, rate)",
+            f"o{k} AS (SELECT *, lag(rate) OVER w AS p, lag(rm)  OVER w AS pm, (lag(ra) OVER w + ra)::double / (lag(rm) OVER w + rm) AS q FROM r{k} WINDOW w AS (PARTITION BY host, up ORDER BY rate))",
+            f"c{k} AS (SELECT *, sum(CASE WHEN rate - p > 2.0::double * sqrt(q * (1 - q) * (1.0::double / pm + 1.0::double / rm)) THEN 1 ELSE 0 END) OVER (PARTITION BY host, up ORDER BY rate) AS merged FROM o{k})",
+            f"m{k} AS (SELECT host, up, rate, e, sum(rm) OVER w AS mm, sum(ra) OVER w AS ma FROM c{k} WINDOW w AS (PARTITION BY host, up, merged))",
+            f"e{k} AS (SELECT b.host, b.up, b.t, {est('mm', 'ma', 'x.e')} AS own FROM b{k} b JOIN m{k} x ON b.host = x.host AND b.up = x.up AND b.rate = x.rate)",
+            f"l{k} AS (SELECT t.host, shape, depth, n, m, a, coalesce(own, e) AS e, t.t FROM t{k} t LEFT JOIN e{k} y ON t.host = y.host AND t.up = y.up AND t.t = y.t)",
+        ]
+    ended = " UNION ALL ".join(["SELECT host, shape, t, e FROM l2 WHERE depth < 2"] + [f"SELECT host, shape, t, e FROM l{k} WHERE depth = {k - 1}" for k in range(3, levels)] + [f"SELECT host, shape, t, e FROM l{levels} WHERE depth >= {levels - 1}"])
     return f"""
 WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM r),
 p AS (SELECT page_id, translate(raw, '{_UPPER}', '{_LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
 q AS (SELECT *, {case(lambda v, h, p: h + p)} AS rule, {case(lambda v, h, p: v)} AS ruled,
  regexp_replace(regexp_replace(regexp_replace(path, '/+', '/', 'g'), '/$', ''), '[^/]*[0-9][^/]*', '{{n}}', 'g') AS shape FROM p),
-s AS (SELECT *, split_part(shape, '/', 2) AS s1, split_part(shape, '/', 3) AS s2, CASE WHEN split_part(shape, '/', 4) <> '' THEN '/**' ELSE '' END AS s3 FROM q),
-k0 AS (SELECT host, s1, s2, s3, count(*) AS n, count(ruled) AS m, count(*) FILTER (WHERE ruled = 'allow') AS a FROM s GROUP BY ALL),
-k1 AS (SELECT *, CASE WHEN s1 IN ('', '{{n}}') OR sum(n) OVER (PARTITION BY host, s1) >= 3 THEN s1 ELSE '*' END AS t1 FROM k0),
-k2 AS (SELECT *, CASE WHEN s2 IN ('', '{{n}}') OR sum(n) OVER (PARTITION BY host, t1, s2) >= 3 THEN s2 ELSE '*' END AS t2 FROM k1),
-k3 AS (SELECT *, CASE WHEN sum(m) OVER () > 0 THEN ((sum(a) OVER ())::double + 2.0::double) / ((sum(m) OVER ())::double + 4.0::double) ELSE 0.5::double END AS e0 FROM k2),
-k4 AS (SELECT *, {est("t1", "e0")} AS e1 FROM k3),
-k5 AS (SELECT *, {est("host", "e1")} AS e2 FROM k4),
-k6 AS (SELECT *, {est("host, t1", "e2")} AS e3 FROM k5),
-k7 AS (SELECT *, {est("host, t1, t2, s3", "e3")} AS e4 FROM k6)
-SELECT s.page_id, s.host, s.path, s.rule, coalesce(s.ruled, CASE WHEN k.e4 >= 0.5::double THEN 'allow' ELSE 'block' END) AS verdict,
- '/' || k.t1 || CASE WHEN k.t2 <> '' THEN '/' || k.t2 ELSE '' END || k.s3 AS template
-FROM s JOIN k7 k ON s.host = k.host AND s.s1 = k.s1 AND s.s2 = k.s2 AND s.s3 = k.s3"""
+kinds AS (SELECT host, shape, count(*) AS n, count(ruled) AS m, count(*) FILTER (WHERE ruled = 'allow') AS a FROM q GROUP BY host, shape),
+root AS (SELECT CASE WHEN sum(m) > 0 THEN (sum(a)::double + 2.0::double) / (sum(m)::double + 4.0::double) ELSE 0.5::double END AS e0 FROM kinds),
+hosts AS (SELECT host, {est('bm', 'ba', 'e0')} AS e FROM (SELECT host, sum(m) AS bm, sum(a) AS ba FROM kinds GROUP BY host), root),
+{", ".join(steps)},
+judged AS ({ended})
+SELECT q.page_id, q.host, q.path, q.rule, coalesce(q.ruled, CASE WHEN j.e >= 0.5::double THEN 'allow' ELSE 'block' END) AS verdict, j.t AS template
+FROM q JOIN judged j ON q.host = j.host AND q.shape = j.shape"""
 
 
 OP9_SQL = _sql()
