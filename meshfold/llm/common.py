@@ -28,11 +28,14 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
+def materialize(df: DataFrame, tag: str, *, plain: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    plain: without a codec, whose buffers outlive the many short tasks of an iterative step.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="none" if plain else None)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

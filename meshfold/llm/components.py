@@ -28,15 +28,15 @@ def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges (u, v), u > v: each node's larger neighbours move to the least node that it sees, itself included."""
     seen = edges.union(edges.select("v", "u"))
     # written, so that both sides of the join are plain exchanges, of which a hub's share can be split at run time
-    least = materialize(seen.groupBy("u").agg(F.min("v").alias("m")), "least")
-    return materialize(seen.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), "edges"), least
+    least = materialize(seen.groupBy("u").agg(F.min("v").alias("m")), "least", plain=True)
+    return materialize(seen.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), "edges", plain=True), least
 
 
 def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Each node's smaller neighbours, and itself, move to the least of them."""
-    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "least", plain=True)
     moved = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return materialize(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges"), least
+    return materialize(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges", plain=True), least
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -49,7 +49,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Cases: edges from a node to itself and repeated edges do not matter; edges with a null end are left out; no
     edges give no rows; further columns are not read.
     """
-    now = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).isNull().alias("x"), F.col(b).isNull().alias("y")).where("u > v and not x and not y").select("u", "v").distinct(), "edges")
+    now = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).isNull().alias("x"), F.col(b).isNull().alias("y")).where("u > v and not x and not y").select("u", "v").distinct(), "edges", plain=True)
     mark = None
     while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.bit_xor(F.xxhash64("u", "v"))).first()

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import materialize, slices
+from .common import giving_back, materialize, slices
 from .components import components, local_roots
 
 SEED = 42
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "fp": pa.array(fp)})
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(giving_back(run), "doc_id long, fp long")
 
 
 class Ring:
@@ -188,7 +188,7 @@ def ring_links(prints: DataFrame, bits: int = 2, segments: int = 5, *, cap: int
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     order = ["start", "part", "lo", "hi"]
-    return rows.select(*order, "fp").repartition(*(F.col(c) for c in order)).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
+    return rows.select(*order, "fp").repartition(*(F.col(c) for c in order)).sortWithinPartitions(*order).mapInArrow(giving_back(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 3, bits: int = 2, segments: int = 5) -> DataFrame:
@@ -200,7 +200,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = joined.where("root is not null").join(roots.select("root").distinct(), "root", "left_semi")
     lows = linked.groupBy("root").agg(F.min("least").alias("low"))
     moved = materialize(linked.join(lows, "root").select("fp", "low"), "moved")
-    ids = classes.join(moved, "fp", "left").select("fp", F.coalesce("low", "least").alias("component_id"))
+    # written, so that a fingerprint that many rows have can be split at run time
+    ids = materialize(classes.join(moved, "fp", "left").select("fp", F.coalesce("low", "least").alias("component_id")), "fingerprint-classes")
     return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, shuffle_partitions
+from .common import fresh_path, materialize, planned_bytes, shuffle_partitions
 from .tokens import encoder, parts_of
 
 MAGIC = b"MFTOKEN1"
@@ -154,14 +154,16 @@ class ShardReader:
         return np.frombuffer(self.file.read_at((b - a) * w, len(MAGIC) + a * w), self.dtype)
 
 
-def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, n_shards: int | None = None, out: str | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, n_shards: int | None = None, shard_bytes: int = 1 << 30, out: str | None = None) -> DataFrame:
     """Write token shards in ascending key order; the manifest (shard, uri, n_docs, n_ids, start).
 
-    Keys are dealt by range, so the order holds across shards. A task streams its rows to one file named by a
+    There are as many shards as shuffle partitions, and more where the input is larger than that many times
+    `shard_bytes`. Keys are dealt by range, rows of one key by a hash of the text, so the order holds across shards and a
+    key that many rows have is no single task. A task streams its rows to one file named by a
     fresh id; only files of tasks that ended stand in the manifest, so a retry leaves at most an unused file.
     """
     spark = docs.sparkSession
-    n = n_shards or shuffle_partitions(spark)
+    n = n_shards or max(shuffle_partitions(spark), planned_bytes(docs) // shard_bytes)
     out = out or fresh_path(spark, "token-shards")
 
     def write(batches):
@@ -177,7 +179,7 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             ids = writer.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "uri": [writer.uri], "n_docs": [len(writer.keys)], "n_ids": [ids]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).repartitionByRange(n, "k").sortWithinPartitions("k")
+    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).withColumn("h", F.xxhash64("t")).repartitionByRange(n, "k", "h").sortWithinPartitions("k", "h").select("k", "t")
     manifest = materialize(rows.mapInArrow(write, "shard int, uri string, n_docs long, n_ids long"), "token-manifest")
     # one row per shard, whatever the number of documents
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
