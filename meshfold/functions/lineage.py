@@ -14,9 +14,30 @@ def _own() -> str:
     return "file://" + tempfile.mkdtemp(prefix="meshfold-")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder where that is unset and all runs in one process."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (given or _own()).rstrip("/")
+
+
+def fresh_folder(spark: SparkSession, tag: str) -> str:
+    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
-    """Write df under spark.checkpoint.dir (a temporary folder where that is unset) and read it back."""
+    """Write df to the shared folder and read it back."""
     spark: SparkSession = df.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or _own()).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that cut() wrote; nothing that is still to run may read it."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,13 +1,30 @@
-"""Vectors as array<double> columns: sums, matrix products, activations. All stay in the JVM."""
+"""Vectors as array<double> columns: sums, matrix products, activations.
+
+Sums, gates and small matrices stay in the JVM; products with larger matrices, and sums of outer products, go through
+Arrow batches to NumPy, one matrix product a batch.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Up to this many products a matrix is written out as one generated expression; beyond, as nested array functions.
-INLINE = 1024
+#: Up to this many products a matrix is written out as one generated expression.
+INLINE = 256
+
+
+def rows_of(column: pa.Array, dim: int) -> np.ndarray:
+    """The vectors of an array column without nulls, as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def lists_of(rows: np.ndarray, there: np.ndarray | None = None) -> pa.ListArray:
+    """An array column of the rows; null where `there` is false."""
+    there = np.ones(len(rows), bool) if there is None else there
+    offsets = np.concatenate([[0], np.cumsum(np.where(there, rows.shape[1], 0))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows[there].ravel()), mask=pa.array(~there))
 
 
 def vector_sum(vec: str | Column, dim: int) -> Column:
@@ -21,7 +38,7 @@ def literal(values) -> Column:
 
 
 def affine(matrix, bias, vec: Column) -> Column:
-    """matrix @ vec + bias."""
+    """matrix @ vec + bias; null for a null vector."""
     m, b = np.asarray(matrix, float), np.asarray(bias, float)
     if m.size <= INLINE:
         rows = []
@@ -31,9 +48,16 @@ def affine(matrix, bias, vec: Column) -> Column:
             for t in terms:
                 total = total + t
             rows.append(total)
-        return F.array(*rows)
-    dot = lambda row: F.aggregate(F.zip_with(row, vec, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return F.zip_with(F.transform(literal(m), dot), literal(b), lambda x, y: x + y)
+        return F.when(vec.isNotNull(), F.array(*rows))
+
+    @F.arrow_udf("array<double>")
+    def product(v: pa.Array) -> pa.Array:
+        there = np.array(v.is_valid())
+        out = np.zeros((len(v), len(b)))
+        out[there] = rows_of(v.filter(v.is_valid()), m.shape[1]) @ m.T + b
+        return lists_of(out, there)
+
+    return product(vec)
 
 
 def relu(vec: Column) -> Column:
@@ -56,9 +80,25 @@ def argmax(vec: Column) -> Column:
     return F.array_position(vec, F.array_max(vec)) - 1
 
 
-def outer_sum(a: Column, b: Column, rows: int, cols: int) -> Column:
-    """Sum over a group of the outer products of two vectors, row by row."""
-    return F.array(*(F.array(*(F.sum(a[i] * b[j]) for j in range(cols))) for i in range(rows)))
+def outer_sums(rows: DataFrame, grad: str, value: str, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of grad (x) value over all rows, and that of grad.
+
+    A task gives its part as `shape[0]` rows; these are added up by row number, so the driver gets one matrix.
+    """
+
+    def part(batches):
+        total = np.zeros((shape[0], shape[1] + 1))
+        for batch in batches:
+            g, x = (rows_of(batch.column(i), d) for i, d in enumerate(shape))
+            total[:, :-1] += g.T @ x
+            total[:, -1] += g.sum(axis=0)
+        yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(shape[0], dtype=np.int32)), "w": lists_of(total)})
+
+    parts = rows.select(grad, value).mapInArrow(part, "i int, w array<double>")
+    out = np.zeros((shape[0], shape[1] + 1))
+    for r in parts.groupBy("i").agg(vector_sum("w", shape[1] + 1).alias("w")).collect():  # as many rows as the parameter
+        out[r["i"]] = r["w"]
+    return out[:, :-1], out[:, -1]
 
 
 def finite(vec: Column) -> Column:

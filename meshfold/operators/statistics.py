@@ -37,6 +37,13 @@ def state_faults(state: DataFrame) -> DataFrame:
     return state.agg(F.count("*").alias("vertices"), F.count_if(~finite(F.col("h"))).alias("not_finite"))
 
 
+def buffer_faults(state: DataFrame, n: int, dim: int) -> DataFrame:
+    """One row: vertices that are missing or repeated among 0..n-1, and those whose vector has another width or holds a null."""
+    own = F.col("h").isNull() | (F.size("h") != dim) | F.exists("h", lambda x: x.isNull())
+    wrong = state.agg(F.count_if(own).alias("wrong_width"), (F.count("*") - F.count_distinct("v")).alias("repeated"), F.count_distinct(F.when((F.col("v") >= 0) & (F.col("v") < n), F.col("v"))).alias("there"))
+    return wrong.select((n - F.col("there")).alias("missing"), "repeated", "wrong_width")
+
+
 def edge_faults(edges: DataFrame, n: int) -> DataFrame:
     """One row: edges, those out of range, self-loops, and repeats of an edge."""
     e = edges.groupBy("s", "t").agg(F.count("*").alias("k"))

@@ -10,12 +10,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
-from ..functions.vectors import affine, argmax, gate, log_sum_exp, outer_sum, relu, vector_sum
+from ..functions.lineage import cut, discard
+from ..functions.vectors import affine, argmax, gate, log_sum_exp, outer_sums, relu, vector_sum
 from .superstep import forward, initial_state
+from .timing import Timers
 
 
 @dataclass
@@ -48,12 +50,17 @@ def logits(layer: DataFrame, labels: DataFrame, model: Model, depth: int) -> Dat
     return rows.withColumn("z", affine(*model.head, F.col("hidden"))).join(labels, "v")
 
 
+def split_metrics(scored: DataFrame, splits: tuple[str, ...] = ("is_train", "is_val", "is_test")) -> DataFrame:
+    """A row for each split (split, labelled, loss, accuracy) over its active vertices, in one pass; zeros if there are none."""
+    lse = log_sum_exp(F.col("z"))
+    rows = scored.select(*splits, (lse - F.element_at("z", (F.col("label") + 1).cast("int"))).alias("loss"), (argmax(F.col("z")) == F.col("label")).cast("double").alias("hit"))
+    mean = lambda x, s: F.coalesce(F.avg(F.when(F.col(s), F.col(x))), F.lit(0.0)).alias({"loss": "loss", "hit": "accuracy"}[x])
+    return rows.agg(F.array(*(F.struct(F.lit(s.removeprefix("is_")).alias("split"), F.count_if(F.col(s)).alias("labelled"), mean("loss", s), mean("hit", s)) for s in splits)).alias("x")).select(F.inline("x"))
+
+
 def metrics(scored: DataFrame, split: str) -> DataFrame:
     """One row: labelled, loss, accuracy over active vertices of a split; zeros if there are none."""
-    own = scored.where(split).select("z", "label", log_sum_exp(F.col("z")).alias("lse"))
-    hit = F.avg((argmax(F.col("z")) == F.col("label")).cast("double"))
-    loss = F.avg(F.col("lse") - F.element_at("z", (F.col("label") + 1).cast("int")))
-    return own.agg(F.count("*").alias("labelled"), F.coalesce(loss, F.lit(0.0)).alias("loss"), F.coalesce(hit, F.lit(0.0)).alias("accuracy"))
+    return split_metrics(scored, (split,)).drop("split")
 
 
 def head_gradient(scored: DataFrame, model: Model, split: str = "is_train") -> DataFrame:
@@ -66,13 +73,6 @@ def head_gradient(scored: DataFrame, model: Model, split: str = "is_train") -> D
     return rows.select("v", "dz", gate(back, F.col("pre")).alias("g_pre"), "aggr", "hidden")
 
 
-def parameter_sums(rows: DataFrame, grad: str, value: str, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of grad (x) value and of grad: one row of as many numbers as the parameter has."""
-    r = rows.agg(outer_sum(F.col(grad), F.col(value), *shape).alias("w"), vector_sum(grad, shape[0]).alias("b")).first()
-    zero = lambda x: np.nan_to_num(np.array(x, dtype=float))  # noqa: E731  of no rows
-    return zero(r["w"]), zero(r["b"])
-
-
 def aggregate_gradient(rows: DataFrame, weight: np.ndarray) -> DataFrame:
     """(v, ga): the gradient at the layer's aggregate."""
     return rows.select("v", affine(weight.T, np.zeros(weight.shape[1]), F.col("g_pre")).alias("ga"))
@@ -88,6 +88,11 @@ def layer_gradient(layer: DataFrame, gh: DataFrame) -> DataFrame:
     return layer.where("active").select("v", "pre", "aggr").join(gh, "v").select("v", gate(F.col("gh"), F.col("pre")).alias("g_pre"), "aggr")
 
 
+def norms(parameters: list[np.ndarray]) -> list[float]:
+    """The Euclidean norm of each parameter or gradient."""
+    return [float(np.sqrt((p * p).sum())) for p in parameters]
+
+
 def gradients(edges: DataFrame, layers: list[DataFrame], labels: DataFrame, model: Model) -> list[np.ndarray]:
     """Gradients of all parameters in order; layers that were not executed have none."""
     depth = len(layers)
@@ -95,13 +100,15 @@ def gradients(edges: DataFrame, layers: list[DataFrame], labels: DataFrame, mode
     if not depth:
         return out
     rows = cut(head_gradient(logits(layers[-1], labels, model, depth), model), "head-gradient")
-    out[-2:] = parameter_sums(rows, "dz", "hidden", model.head[0].shape)
+    out[-2:] = outer_sums(rows, "dz", "hidden", model.head[0].shape)
     for k in range(depth - 1, -1, -1):
         weight = model.layers[k][0]
-        out[2 * k : 2 * k + 2] = parameter_sums(rows, "g_pre", "aggr", weight.shape)
+        out[2 * k : 2 * k + 2] = outer_sums(rows, "g_pre", "aggr", weight.shape)
         if k:
             gh = backward_scatter(edges, aggregate_gradient(rows, weight), weight.shape[1])
-            rows = cut(layer_gradient(layers[k - 1], gh), "layer-gradient")
+            used, rows = rows, cut(layer_gradient(layers[k - 1], gh), "layer-gradient")
+            discard(used)
+    discard(rows)
     return out
 
 
@@ -127,35 +134,46 @@ class Optimizer:
         return [p - self.rate * (m / a) / (np.sqrt(v / b) + 1e-8) for p, m, v in zip(params, self.first, self.second)]
 
 
-def train(nodes: DataFrame, edges: DataFrame, model: Model, *, epochs: int = 2, patience: int = 10, optimizer: Optimizer | None = None, refresh_forward: bool = True) -> tuple[Model, DataFrame]:
+def train(nodes: DataFrame, edges: DataFrame, model: Model, *, epochs: int = 2, patience: int = 10, optimizer: Optimizer | None = None, refresh_forward: bool = True, timers: Timers | None = None) -> tuple[Model, DataFrame]:
     """The trained model and a row for each epoch, the last with the test accuracy of the final parameters.
 
     Training stops early when the validation accuracy has not risen for `patience` epochs. Without
-    refresh_forward the layers of the first epoch are used throughout.
+    refresh_forward the layers of the first epoch are used throughout. The edges are dealt out by source once, so that
+    supersteps do not move them; tables of layers are deleted when the next epoch's are there.
     """
-    optimizer = optimizer or Optimizer()
+    optimizer, timers = optimizer or Optimizer(), timers or Timers()
+    spark = nodes.sparkSession
     labels = nodes.select("v", "label", "is_train", "is_val", "is_test")
-    edges = cut(edges.repartition("s"), "edges")
+    edges = edges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "s").persist(StorageLevel.MEMORY_AND_DISK)
     layers, history, best, stale = [], [], -1.0, 0
     for epoch in range(1, epochs + 1):
         if refresh_forward or not layers:
-            layers = forward(edges, initial_state(nodes), model.layers)
-        model = model.with_parameters(optimizer.step(model.parameters(), gradients(edges, layers, labels, model)))
+            for used in layers:
+                discard(used)
+            with timers("forward"):
+                layers = forward(edges, initial_state(nodes), model.layers, timers)
+        with timers("backward"):
+            grads = gradients(edges, layers, labels, model)
+        with timers("step"):
+            model = model.with_parameters(optimizer.step(model.parameters(), grads))
+        row = [0.0] * 4
         if layers:
-            scored = logits(layers[-1], labels, model, len(layers))
-            t, v = (metrics(scored, s).first() for s in ("is_train", "is_val"))
-            history.append((epoch, t["loss"], t["accuracy"], v["loss"], v["accuracy"], None))
-        else:
-            history.append((epoch, 0.0, 0.0, 0.0, 0.0, None))
+            with timers("metrics"):
+                found = {r["split"]: r for r in split_metrics(logits(layers[-1], labels, model, len(layers)), ("is_train", "is_val")).collect()}
+            row = [found[s][x] for s in ("train", "val") for x in ("loss", "accuracy")]
+        history.append((epoch, *row, float(norms(grads)[0]), None))
         stale = 0 if history[-1][4] > best else stale + 1
         best = max(best, history[-1][4])
         if stale >= patience:
             break
     if layers:
         test = metrics(logits(layers[-1], labels, model, len(layers)), "is_test").first()["accuracy"]
-        history[-1] = (*history[-1][:5], test)
-    schema = "epoch int, train_loss double, train_accuracy double, val_loss double, val_accuracy double, test_accuracy double"
-    return model, nodes.sparkSession.createDataFrame(history, schema)
+        history[-1] = (*history[-1][:-1], test)
+    for used in layers:
+        discard(used)
+    edges.unpersist()
+    schema = "epoch int, train_loss double, train_accuracy double, val_loss double, val_accuracy double, first_gradient_norm double, test_accuracy double"
+    return model, spark.createDataFrame(history, schema)
 
 
 def legacy_step(layers: list[DataFrame], model: Model, rate: float) -> tuple[float, Model]:
@@ -169,6 +187,6 @@ def legacy_step(layers: list[DataFrame], model: Model, rate: float) -> tuple[flo
             continue
         rows = rows.select("aggr", F.transform(relu(F.col("pre")), lambda x: x * (2.0 / n)).alias("d"))
         loss += rows.agg(F.sum(F.aggregate("d", F.lit(0.0), lambda s, x: s + x * x))).first()[0] * n / 4
-        gw, gb = parameter_sums(rows, "d", "aggr", weight.shape)
+        gw, gb = outer_sums(rows, "d", "aggr", weight.shape)
         params[2 * k], params[2 * k + 1] = params[2 * k] - rate * gw, params[2 * k + 1] - rate * gb
     return loss, model.with_parameters(params)

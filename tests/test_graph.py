@@ -4,12 +4,15 @@ import gzip
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from meshfold import __main__ as cli
 from meshfold.operators import partitioning as P
 from meshfold.operators import superstep as M
 from meshfold.operators import training as T
+from meshfold.operators.timing import Timers
 from meshfold.sources import checkpoints
 from meshfold.sources import graphs as G
 
@@ -151,3 +154,113 @@ def test_dataset(spark, tmp_path):
 def test_ragged_features_fail(spark, tmp_path):
     with pytest.raises(Exception, match="differ in length"):
         G.read_dataset(spark, write_dataset(tmp_path, features="1,2\n3\n")).nodes.collect()
+
+
+@pytest.mark.parametrize("line,want", [("1, 2,3,", [1, 2, 3]), ("1.5 2e3\t-3", [1.5, 2000, -3]), ("1,x,3", [1]), ("4x,5", [4]), ("+.5,1", [0.5, 1]), ("7,,8", [7]), ("-", []), (" 5 , 6", [5, 6])])
+def test_float_tokens(spark, line, want):
+    df = spark.createDataFrame([(line,)], "value string")
+    assert df.select(G.floats(F.col("value")).alias("x")).first()["x"] == want
+
+
+@pytest.mark.parametrize("line,want", [("1,2", (1, 2)), (" 12ab,3", (12, None)), ("3", (3, None)), ("+4 , -5,6", (4, -5)), ("-", (None, None)), ("7\t8", (7, 8)), ("99999999999999999999,1", (None, 1))])
+def test_integer_tokens(spark, line, want):
+    df = spark.createDataFrame([(line,)], "value string")
+    assert tuple(df.select(*(c.alias(f"c{i}") for i, c in enumerate(G.integers(F.col("value"), 2)))).first()) == want
+
+
+def test_numbering_over_partitions(spark):
+    rows = [f"{i} x" if i % 3 else "skip" for i in range(50)]
+    lines = spark.createDataFrame([(r,) for r in rows], "value string").repartition(1).coalesce(1)
+    got = G.numbered(lines.where(F.col("value").rlike(G.NUMERIC))).orderBy("at").collect()
+    assert [(r.at, r.value) for r in got] == list(enumerate(r for r in rows if r != "skip"))
+    many = spark.range(0, 100, 1, 7).select(F.col("id").cast("string").alias("value")).where("id % 2 = 0")
+    assert [(r.at, int(r.value)) for r in G.numbered(many).orderBy("at").collect()] == [(i, 2 * i) for i in range(50)]
+
+
+def test_dataset_faults(spark, tmp_path):
+    with pytest.raises(ValueError, match="no feature rows"):
+        G.read_dataset(spark, write_dataset(tmp_path / "a", features="header only\n"))
+    g = G.read_dataset(spark, write_dataset(tmp_path / "b", labels="1\n+\n2\n"))
+    assert [r["label"] for r in g.nodes.orderBy("v").collect()] == [1, 2, 0]
+    with pytest.raises(Exception, match="hidden width"):
+        M.initial_state(g.nodes, 5).collect()
+
+
+def test_dataset_round_trip(spark, tmp_path):
+    nodes = toy_nodes(spark)
+    G.write_dataset(G.Graph(nodes, edges_of(spark, "toy"), 5), str(tmp_path))
+    back = G.read_dataset(spark, str(tmp_path))
+    assert back.n == 5 and sorted(map(tuple, back.edges.collect())) == sorted(GRAPHS["toy"][1])
+    assert sorted(map(tuple, back.nodes.select(*nodes.columns).collect())) == sorted(map(tuple, nodes.collect()))
+
+
+def test_wide_gradients_against_numpy(spark):
+    """Width 100, with a vertex that receives nothing: all parameters against a plain restatement."""
+    rng, n, dim, classes = np.random.default_rng(3), 30, 100, 4
+    x, y = rng.normal(size=(n, dim)), rng.integers(0, classes, n)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, n, (90, 2)) if b]
+    m = T.Model([(rng.normal(size=(dim, dim)) / 10, rng.normal(size=dim) / 10) for _ in range(2)], (rng.normal(size=(classes, dim)) / 10, np.zeros(classes)))
+    nodes = spark.createDataFrame([(i, x[i].tolist(), int(y[i]), i < 20, False, False) for i in range(n)], "v long, features array<double>, label long, is_train boolean, is_val boolean, is_test boolean")
+    edges = spark.createDataFrame(pairs, "s long, t long")
+    layers = M.forward(edges, M.initial_state(nodes, dim), m.layers)
+    got = T.gradients(edges, layers, nodes.drop("features"), m)
+
+    h, act, kept = x, np.ones(n, bool), []
+    for w, b in m.layers:
+        a, received = np.zeros((n, dim)), np.zeros(n, int)
+        for s, t in pairs:
+            if act[s]:
+                a[t] += h[s]
+                received[t] += 1
+        now = received > 0
+        p = np.where(now[:, None], a @ w.T + b, h)
+        kept.append((a, p, act))
+        h, act = np.where(now[:, None], np.maximum(p, 0), h), now
+    z = h @ m.head[0].T
+    q = np.exp(z - z.max(1, keepdims=True))
+    q /= q.sum(1, keepdims=True)
+    use = act & (np.arange(n) < 20)
+    dz = np.where(use[:, None], q - np.eye(classes)[y], 0) / use.sum()
+    want = {4: dz.T @ h, 5: dz.sum(0)}
+    g = (dz @ m.head[0]) * (kept[1][1] > 0)
+    want |= {2: g.T @ kept[1][0], 3: g.sum(0)}
+    back, ga = np.zeros((n, dim)), g @ m.layers[1][0]
+    for s, t in pairs:
+        if kept[1][2][s]:
+            back[s] += ga[t]
+    g0 = back * (kept[0][1] > 0) * kept[1][2][:, None]
+    want |= {0: g0.T @ kept[0][0], 1: g0.sum(0)}
+    assert all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
+    assert np.allclose(T.norms(got), [np.linalg.norm(p) for p in got])
+
+
+def test_training_values(spark):
+    """Two epochs of plain steps equal gradients applied by hand; with the first layers kept, layer 0 does not matter to later losses."""
+    nodes, edges, m = toy_nodes(spark), edges_of(spark, "toy"), toy_model()
+    labels = nodes.drop("features")
+    now = m
+    for _ in range(2):
+        layers = M.forward(edges, M.initial_state(nodes), now.layers)
+        now = now.with_parameters([p - 0.5 * g for p, g in zip(now.parameters(), T.gradients(edges, layers, labels, now))])
+    timers = Timers()
+    got, history = T.train(nodes, edges, m, epochs=2, optimizer=T.Optimizer("sgd", 0.5), timers=timers)
+    assert all(np.allclose(a, b) for a, b in zip(got.parameters(), now.parameters()))
+    assert timers.total("superstep") > 0 and {r.phase for r in timers.rows(spark).collect()} == {"forward", "superstep", "backward", "step", "metrics"}
+    first = M.forward(edges, M.initial_state(nodes), m.layers)
+    kept = m
+    for _ in range(2):
+        kept = kept.with_parameters([p - 0.5 * g for p, g in zip(kept.parameters(), T.gradients(edges, first, labels, kept))])
+    stale, _ = T.train(nodes, edges, m, epochs=2, optimizer=T.Optimizer("sgd", 0.5), refresh_forward=False)
+    assert all(np.allclose(a, b) for a, b in zip(stale.parameters(), kept.parameters()))
+    assert len(history.collect()) == 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "g.graph").write_text("5 8\n" + "".join(f"{a} {b}\n" for a, b in GRAPHS["toy"][1]))
+    cli.main([str(tmp_path / "g.graph"), "--hidden", "2", "--ranks", "2"])
+    out = capsys.readouterr().out
+    assert "v0: [0.8000, 0.8000]" in out and "v4: [1.0000, 1.0000]" in out and "remote_received" in out and "peak_state_bytes" in out
+    cli.main(["--dataset", "small", "--dataset-root", write_dataset(tmp_path / "small").rsplit("/", 1)[0]])
+    assert "feature_dim" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli.main([str(tmp_path / "g.graph"), "--save", "x"])
