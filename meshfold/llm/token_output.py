@@ -21,10 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, planned_bytes, shuffle_partitions
+from .common import fresh_path, giving_back, planned_bytes, shuffle_partitions
 from .tokens import encoder, parts_of
 
 MAGIC = b"MFTOKEN1"
@@ -180,10 +180,10 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "uri": [writer.uri], "n_docs": [len(writer.keys)], "n_ids": [ids]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).withColumn("h", F.xxhash64("t")).repartitionByRange(n, "k", "h").sortWithinPartitions("k", "h").select("k", "t")
-    manifest = materialize(rows.mapInArrow(write, "shard int, uri string, n_docs long, n_ids long"), "token-manifest")
     # one row per shard, whatever the number of documents
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    made = sorted(rows.mapInArrow(giving_back(write, encoder), "shard int, uri string, n_docs long, n_ids long").collect())
+    starts = np.cumsum([0, *(r["n_ids"] for r in made)]).tolist()
+    return spark.createDataFrame([(*r, start) for r, start in zip(made, starts)], "shard int, uri string, n_docs long, n_ids long, start long")
 
 
 def read_shards(manifest: DataFrame, n_tasks: int | None = None) -> DataFrame:
@@ -202,7 +202,7 @@ def read_shards(manifest: DataFrame, n_tasks: int | None = None) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array([k for k, _ in own], pa.int64()), "start": pa.array([start + int(shard.a["ends"][e]) for _, e in own], pa.int64()), "n_tokens": pa.array([len(x) for x in ids], pa.int64()), "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())})
 
     n = n_tasks or shuffle_partitions(manifest.sparkSession)
-    return manifest.select("uri", "start").repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("uri", "start").repartition(n).mapInArrow(giving_back(read, encoder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op1_token_output(spark, sf_dir: str) -> DataFrame:
