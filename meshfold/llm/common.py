@@ -28,13 +28,19 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str, *, plain: bool = False) -> DataFrame:
+#: A table of known size has a file for so many rows.
+FILE_ROWS = 10_000
+
+
+def materialize(df: DataFrame, tag: str, *, plain: bool = False, rows: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    plain: without a codec, whose buffers outlive the many short tasks of an iterative step.
+    plain: without a codec, whose buffers outlive the many short tasks of an iterative step. rows: about how many rows
+    the step works on; a small one gets few tasks and files, whatever the number of shuffle partitions.
     """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
+    df = df if rows is None else df.coalesce(rows // FILE_ROWS + 1)
     df.write.parquet(path, compression="none" if plain else None)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path

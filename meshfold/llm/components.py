@@ -24,19 +24,19 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[p[own]]
 
 
-def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _large_star(edges: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
     """Edges (u, v), u > v: each node's larger neighbours move to the least node that it sees, itself included."""
     seen = edges.union(edges.select("v", "u"))
     # written, so that both sides of the join are plain exchanges, of which a hub's share can be split at run time
-    least = materialize(seen.groupBy("u").agg(F.min("v").alias("m")), "least", plain=True)
-    return materialize(seen.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), "edges", plain=True), least
+    least = materialize(seen.groupBy("u").agg(F.min("v").alias("m")), "least", plain=True, rows=rows)
+    return materialize(seen.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), "edges", plain=True, rows=rows), least
 
 
-def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _small_star(edges: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
     """Each node's smaller neighbours, and itself, move to the least of them."""
-    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "least", plain=True)
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "least", plain=True, rows=rows)
     moved = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return materialize(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges", plain=True), least
+    return materialize(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges", plain=True, rows=rows), least
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -58,7 +58,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         mark = seen
         used = [now]
         for step in (_large_star, _small_star):
-            now, least = step(now)
+            now, least = step(now, seen[0])
             used += [least, now]
         for table in used[:-1]:
             discard(table)

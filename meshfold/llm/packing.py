@@ -89,7 +89,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(giving_back(cut), PIECES)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(giving_back(cut, encoder), PIECES)
 
 
 def pack(pieces: DataFrame, *, capacity: int = 2048, max_docs: float = 2048, max_attention: float = 2048 * 2048, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), rule: str = "norm", group: int = 40_000) -> DataFrame:
@@ -113,7 +113,7 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, max_docs: float = 2048, max
         t = t.append_column("sequence_id", pa.array(bins + (TaskContext.get().partitionId() << 32))).append_column("offset", pa.array(offset))
         yield from t.to_batches(max_chunksize=20_000)
 
-    return pieces.repartition(n).mapInArrow(giving_back(fill), PIECES + ", sequence_id long, offset long")
+    return pieces.repartition(n).mapInArrow(giving_back(fill, encoder), PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, **kw) -> DataFrame:

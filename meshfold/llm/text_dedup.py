@@ -102,18 +102,18 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
-def _in_bands(texts: DataFrame) -> DataFrame:
+def _in_bands(texts: DataFrame, count: int) -> DataFrame:
     """(start, part, node, low): the bands that hold more than one node, and the least of each."""
     rows = texts.select("node", F.posexplode("bands").alias("start", "part"))
-    shared = materialize(rows.groupBy("start", "part").agg(F.min("node").alias("low"), F.count("*").alias("c")).where("c > 1").drop("c"), "shared-bands")
-    out = materialize(rows.join(shared, ["start", "part"]).select("start", "part", "node", "low"), "in-bands")
+    shared = materialize(rows.groupBy("start", "part").agg(F.min("node").alias("low"), F.count("*").alias("c")).where("c > 1").drop("c"), "shared-bands", rows=count)
+    out = materialize(rows.join(shared, ["start", "part"]).select("start", "part", "node", "low"), "in-bands", rows=count)
     discard(shared)
     return out
 
 
-def _ring_pairs(texts: DataFrame) -> DataFrame:
+def _ring_pairs(texts: DataFrame, count: int) -> DataFrame:
     """Pairs (a, b) of nodes: each with the least one of its fingerprint, and the least ones of linked fingerprints."""
-    lows = materialize(texts.groupBy("fp").agg(F.min("node").alias("low")), "fingerprint-lows")
+    lows = materialize(texts.groupBy("fp").agg(F.min("node").alias("low")), "fingerprint-lows", rows=count)
     same = texts.select("fp", "node").join(lows, "fp").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
     links = ring_links(lows.select("fp"), BITS, SEGMENTS)
     ends = links.join(lows.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(lows.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b")
@@ -123,16 +123,16 @@ def _ring_pairs(texts: DataFrame) -> DataFrame:
 _UNIT = ["start", "part", "lo", "hi"]
 
 
-def _open_units(banded: DataFrame, roots: DataFrame, texts: DataFrame, cap: int) -> DataFrame:
+def _open_units(banded: DataFrame, roots: DataFrame, texts: DataFrame, cap: int, count: int) -> DataFrame:
     """The texts of bands that hold several components, dealt out by units (pairs of blocks of at most about cap texts).
 
     The texts outside the band's largest component meet each other and that component's; its own texts do not meet.
     """
-    named = materialize(banded.join(roots, "node", "left").select("start", "part", "node", F.coalesce("root", "node").alias("comp")), "band-comps")
+    named = materialize(banded.join(roots, "node", "left").select("start", "part", "node", F.coalesce("root", "node").alias("comp")), "band-comps", rows=count)
     sizes = named.groupBy("start", "part", "comp").agg(F.count("*").alias("c"))
     bands_ = sizes.groupBy("start", "part").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("all")).where("all > most")
     blocks = lambda c: F.ceil(c / cap).cast("int")
-    bands_ = materialize(bands_.select("start", "part", "main", blocks(F.col("all") - F.col("most")).alias("others"), blocks(F.col("most")).alias("mains")), "open-bands")
+    bands_ = materialize(bands_.select("start", "part", "main", blocks(F.col("all") - F.col("most")).alias("others"), blocks(F.col("most")).alias("mains")), "open-bands", rows=count)
     rows = named.join(bands_, ["start", "part"])
     inside = F.col("comp") == F.col("main")
     own = F.when(inside, F.col("others") + F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others"))).cast("int")
@@ -182,9 +182,9 @@ def _candidates(units: DataFrame, best_only: bool) -> DataFrame:
     return rows.mapInArrow(giving_back(run), "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, cap: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, cap: int, count: int) -> DataFrame:
     """The pairs (a, b) whose whole texts (node, t) are similar. A text a meets up to about cap texts b in a task."""
-    hubs = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / cap).cast("int").alias("blocks")), "hubs")
+    hubs = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / cap).cast("int").alias("blocks")), "hubs", rows=count)
     first = hubs.join(texts, hubs.a == texts.node).select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("s"), F.lit(None).cast("long").alias("b"), "t")
     own = pairs.join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("s"), "b")
     rows = first.union(own.join(texts, own.b == texts.node).select("a", "s", "b", "t"))
@@ -219,33 +219,34 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     rows = materialize(_described(plain.select(key.alias("key"), place[id_col].alias("i"), text.alias("t"))), "described")
     texts = materialize(_distinct_texts(rows), "texts")
     discard(rows)
-    banded = _in_bands(texts)
-    asked = materialize(banded.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).union(_ring_pairs(texts)).distinct(), "candidates")
+    count = texts.count()
+    banded = _in_bands(texts, count)
+    asked = materialize(banded.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).union(_ring_pairs(texts, count)).distinct(), "candidates", rows=count)
 
     # the one time that texts move: a row of each distinct one stays
     some = banded.select("node").union(asked.select("a")).union(asked.select("b")).distinct()
     chosen = texts.select("key", "i", "n", "node").join(some.withColumn("asked", F.lit(True)), "node", "left")
-    chosen = materialize(chosen.select(F.col("key").alias("_key"), "i", "n", "node", F.coalesce("asked", F.lit(False)).alias("asked")), "chosen")
+    chosen = materialize(chosen.select(F.col("key").alias("_key"), "i", "n", "node", F.coalesce("asked", F.lit(False)).alias("asked")), "chosen", rows=count)
     whole = plain.withColumn("key", key).join(chosen.hint("shuffle_hash"), (F.col("key") == F.col("_key")) & place[id_col].eqNullSafe(F.col("i"))).drop("key", "_key", "i")
     whole = materialize(whole, "whole")
     once = whole.where("n = 1").union(whole.where("n > 1").dropDuplicates(["node"]))
     found = once.where("asked").select("node", text.alias("t"))
 
-    first = _verified(asked, found, cap)
-    roots = materialize(components(first), "roots")
+    first = _verified(asked, found, cap, count)
+    roots = materialize(components(first), "roots", rows=count)
     links = first
     for best_only in (True, False):
-        units = _open_units(banded, roots, texts, cap)
+        units = _open_units(banded, roots, texts, cap, count)
         pairs = materialize(_candidates(units, best_only), "candidates")
         discard(units)
         if pairs.head(1):
-            links = links.union(_verified(pairs, found, cap))
-            roots = materialize(components(links), "roots")
+            links = links.union(_verified(pairs, found, cap, count))
+            roots = materialize(components(links), "roots", rows=count)
         discard(pairs)
     own = once.where("asked").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = own.select("node", "root", place[id_col].alias("i"))
     kept = ids.groupBy("root").agg(F.min_by("node", F.struct(F.col("i").isNull(), F.col("i"), F.col("node"))).alias("node"))
-    kept = materialize(kept.select("node"), "kept")
+    kept = materialize(kept.select("node"), "kept", rows=count)
     for used in (texts, banded, asked):
         discard(used)
     out = once.where("not asked").union(once.where("asked").join(kept, "node", "left_semi").select(*once.columns))
