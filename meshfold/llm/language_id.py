@@ -176,11 +176,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(giving_back(run), "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", *, least: float = 0.0, least_known: float = 0.2) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", *, least: float = 0.0, least_known: float = 0.1) -> DataFrame:
     """The rows whose language is identified. All columns pass through.
 
     Rows that are `und` go, and those with a posterior below `least`, and those of whose words the model knows less
-    than `least_known` (by themselves or by their n-grams): no learned language, or no language.
+    than `least_known` (by themselves or by their n-grams): no learned language, or no language. The fit must have seen
+    enough labelled text for that; a model of no labelled rows keeps nothing.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
