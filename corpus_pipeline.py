@@ -3,6 +3,11 @@
 Stages: language identification (rows whose language is not identified go), SimHash near-duplicates (one document
 of each group stays), benchmark decontamination (documents with a benchmark passage go), best-fit packing (the
 pieces of what is left, with their places in sequences). All but the last return the columns of `documents`.
+
+Cases: null and empty texts, and texts without a letter, go in the first stage; a null id is a document like any other
+(kept as the representative of a group only if the group has no other); repeated rows are one group; texts of any
+length are processed whole, and only packing cuts them; without a benchmark nothing is contaminated; no documents give no
+rows; further columns, whatever their names, pass through up to the last stage.
 """
 
 from __future__ import annotations
