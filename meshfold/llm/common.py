@@ -85,6 +85,14 @@ def worker_cache(make):
     return cached
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def giving_back(run, uses=None):
     """A mapInArrow function after which the Python worker, which lives on, returns freed memory to the system.
 
@@ -93,15 +101,14 @@ def giving_back(run, uses=None):
 
     @wraps(run)
     def task(batches):
-        for cached in _CACHES:
-            if cached is not uses:
-                cached.cache_clear()
+        left = [cached for cached in _CACHES if cached is not uses and cached.cache_info().currsize]
+        for cached in left:
+            cached.cache_clear()
+        if left:
+            give_back()
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-            if trim:
-                trim(0)
+            give_back()
 
     return task

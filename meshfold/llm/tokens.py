@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from .common import worker_cache
+from .common import give_back, worker_cache
 
 MARKS = ".,;:!?|"
 _LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
@@ -52,13 +52,14 @@ def distinct_items(texts: pa.Array, cut: pa.ListArray | None = None) -> tuple[li
 
 
 def parts_of(batch: pa.RecordBatch, column: int, size: int):
-    """Slices of a batch whose texts have about `size` bytes together."""
+    """Slices of a batch whose texts have about `size` bytes together; what was freed meanwhile is returned after each."""
     length = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = np.cumsum(length) // size
     edge = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(edge[:-1], edge[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+            give_back()
 
 
 class Generations:
