@@ -29,7 +29,7 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 
 
 #: A table of known size has a file for so many rows.
-FILE_ROWS = 10_000
+FILE_ROWS = 25_000
 
 
 def materialize(df: DataFrame, tag: str, *, plain: bool = False, rows: int | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, giving_back, materialize
-from .components import components, local_roots
+from .components import local_roots, stars
 from .simhash import dealt, group_numbers, whole_groups
 
 MOST_PIVOTS = 65_536
@@ -178,7 +178,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     found = materialize(full.select(*order, "own", "node", "many", "pivots", "vec").repartition(*order).sortWithinPartitions(*order).mapInArrow(giving_back(link), "a long, b long, n long"), "vector-links")
     for used in (described, lists, marks):
         discard(used)
-    roots = materialize(components(found.where("a <> b").select("a", "b")), "roots")
+    roots = stars(found.where("a <> b").select("a", "b"))
     links = materialize(found.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "node"), "link-counts")
     named = materialize(nodes.select("node", "low", "many", "vec").join(roots, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node")), "named-vectors")
     lows = materialize(named.groupBy("root").agg(F.min("low").alias("component_id")), "component-ids")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .common import giving_back, materialize, slices
-from .components import components, local_roots
+from .components import local_roots, stars
 
 SEED = 42
 
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, fingerprint, component_id of every row."""
     rows = materialize(fingerprints(docs, id_col, text_col, words=words), "fingerprints")
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = materialize(components(ring_links(classes.select("fp"), bits, segments)), "roots")
+    roots = stars(ring_links(classes.select("fp"), bits, segments))
     joined = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     linked = joined.where("root is not null").join(roots.select("root").distinct(), "root", "left_semi")
     lows = linked.groupBy("root").agg(F.min("least").alias("low"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, giving_back, materialize, slices
-from .components import components
+from .components import stars
 from .simhash import SEED, group_numbers, majority, ring_links, same_key_pairs, shingle_hashes, whole_groups
 
 WORDS, LEAST, BITS, SEGMENTS, WIDE, BINS = 5, 0.8, 2, 5, 24, 512
@@ -233,7 +233,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     found = once.where("asked").select("node", text.alias("t"))
 
     first = _verified(asked, found, cap, count)
-    roots = materialize(components(first), "roots", rows=count)
+    roots = stars(first)
     links = first
     for best_only in (True, False):
         units = _open_units(banded, roots, texts, cap, count)
@@ -241,13 +241,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         discard(units)
         if pairs.head(1):
             links = links.union(_verified(pairs, found, cap, count))
-            roots = materialize(components(links), "roots", rows=count)
+            discard(roots)
+            roots = stars(links)
         discard(pairs)
     own = once.where("asked").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = own.select("node", "root", place[id_col].alias("i"))
     kept = ids.groupBy("root").agg(F.min_by("node", F.struct(F.col("i").isNull(), F.col("i"), F.col("node"))).alias("node"))
     kept = materialize(kept.select("node"), "kept", rows=count)
-    for used in (texts, banded, asked):
+    for used in (texts, banded, asked, roots):
         discard(used)
     out = once.where("not asked").union(once.where("asked").join(kept, "node", "left_semi").select(*once.columns))
     return out.select(*plain.columns).toDF(*names)
